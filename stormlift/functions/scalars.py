@@ -45,7 +45,7 @@ def in_alert() -> Column:
 
 
 def clip(c: Column, lo: float, hi: float) -> Column:
-    return F.least(F.greatest(c, F.lit(float(lo))), F.lit(float(hi)))
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(float(lo))), F.lit(float(hi))))
 
 
 def big_sum(c: Column) -> Column:

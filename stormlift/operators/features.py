@@ -10,15 +10,16 @@ from stormlift.operators.ordered import dense_index
 from stormlift.operators.windows import (
     ALL_MINUTES,
     CG_MINUTES,
+    EMA_REACH,
     IC_MINUTES,
     MAX_GROUP_ROWS,
     ROW,
-    alert_positions,
-    alert_positions_blocked,
+    cg_density,
     context_counts,
     ema,
     largest_groups,
     last_rows,
+    place,
     slope,
 )
 
@@ -96,11 +97,13 @@ def _per_alert(cg: DataFrame, blocks: list[str], v4: bool) -> DataFrame:
     df = cg.withColumns(
         {
             "t_since_start_s": (F.col("us") - F.col("start_us")) / 1e6,
-            "dt_prev_s": F.coalesce((F.col("us") - F.lag("us").over(w)) / 1e6, F.lit(0.0)),
+            "dt_prev_s": F.coalesce((F.col("us") - F.col("prev_us")) / 1e6, F.lit(0.0)),
             "amp_abs": F.abs("amplitude"),
             "amp_sign": F.signum("amplitude"),
         }
     )
+    # the exponential means first: each of their rounds copies the row, which is still narrow here
+    df = ema(df, "dt_prev_s", ROLL, w, F.col("rank_cg") == 0, "dt_ema")
     frames = {}
     for n in ROLL:
         rows = last_rows(w, n)
@@ -121,8 +124,7 @@ def _per_alert(cg: DataFrame, blocks: list[str], v4: bool) -> DataFrame:
             f"dist_trend_{V4_ROLL}": slope(F.col("dist"), w, V4_ROLL),
             f"amp_trend_{V4_ROLL}": slope(F.col("amp_abs"), w, V4_ROLL),
         }
-    df = df.withColumns(frames)
-    return ema(df, "dt_prev_s", ROLL, w, F.col("rank_cg") == 0, "dt_ema")
+    return df.withColumns(frames)
 
 
 def _ratios(df: DataFrame) -> DataFrame:
@@ -162,18 +164,22 @@ def _features(strikes: DataFrame, v4: bool, context: bool, split: str, split_row
     if split not in ("auto", "never", "always"):
         raise ValueError(f"split must be auto, never or always, not {split}")
     slim = strikes.select(*[c for c in [*KEYS, "icloud", *RAW] if c in strikes.columns]).withColumn("us", micros("date"))
-    big_alert, big_hour = largest_groups(slim, split_rows) if split == "auto" else (split == "always",) * 2
+    big_alert, big_hour = (split == "always",) * 2
+    if split == "auto":
+        big_alert, big_hour = largest_groups(slim, split_rows)
     wanted = in_alert() & is_cg()
     if context:
         cg = context_counts(slim, wanted, dense=big_hour)
     else:
         cg = slim.filter(wanted).withColumns({c: F.lit(0).cast("bigint") for c in CONTEXT})
     cg = cg.drop("icloud")
-    if big_alert:
-        blocked = alert_positions_blocked(cg, max(split_rows, 1024))
-        df = _per_alert(blocked, ["_block"], v4).filter(~F.col("_halo"))
+    placed, blocks = place(cg, big_alert, split_rows, EMA_REACH + 8)
+    placed = placed.withColumnRenamed("rank", "rank_cg").drop("total")
+    if big_alert:  # counts first: they need each strike once
+        counts = cg_density(placed.filter(~F.col("_halo")), True).select("lightning_id", *DENSITY[:-1])
+        df = _per_alert(placed, blocks, v4).filter(~F.col("_halo")).join(counts, "lightning_id")
     else:
-        df = _per_alert(alert_positions(cg), [], v4)
+        df = _per_alert(cg_density(placed, False), blocks, v4)
     df = _ratios(df)
     if v4:
         df = _v4_ratios(df)

@@ -20,6 +20,7 @@ HALO = 30 * MINUTE
 
 ROW = ["us", "lightning_id"]  # total order of strikes inside a group
 EMA_REACH = 512  # strikes after which every exponential weight used is below 1e-17
+EMA_FAN = 8
 
 # The largest group one task is asked to hold; a larger one is cut into blocks.
 MAX_GROUP_ROWS = 2_000_000
@@ -100,47 +101,61 @@ def context_counts_by_join(strikes: DataFrame, wanted: Column) -> DataFrame:
     )
 
 
-def alert_positions(cg: DataFrame) -> DataFrame:
-    """``rank_cg``, ``start_us`` and the position-based ``n_cg_*min`` of each CG strike of an alert."""
-    w = Window.partitionBy(*ALERT).orderBy(*ROW)
-    placed = cg.withColumns({"rank_cg": (F.row_number().over(w) - 1).cast("bigint"), "start_us": F.min("us").over(w)})
-    by_time = Window.partitionBy(*ALERT).orderBy("us")
-    return placed.withColumns(
-        {
-            f"n_cg_{m}min": F.col("rank_cg") + 1 - F.count(F.lit(1)).over(up_to(by_time, m * MINUTE + 1))
-            for m in CG_MINUTES
-        }
-    )
-
+def place(df: DataFrame, cut: bool, block_rows: int, reach: int) -> tuple[DataFrame, list[str]]:
+    """``rank``, ``start_us``, ``prev_us`` and ``total`` of each strike in its alert, and how to partition.
 
-def alert_positions_blocked(cg: DataFrame, block_rows: int) -> DataFrame:
-    """``alert_positions`` for alerts of any size, plus the columns that cut them into blocks.
-
-    ``_block`` numbers runs of ``block_rows`` strikes; the last ``EMA_REACH`` + 8 strikes of a
-    block are repeated (``_halo`` true) at the head of the next one for the row frames there.
+    ``x`` counts strikes from a near origin, small enough to fit lines on. Returned next to the table are the columns that, with the alert key, bound a window partition.
+    Uncut that is none. Cut, it is ``_block``: runs of ``block_rows`` strikes, the last ``reach``
+    of which are repeated (``_halo`` true) at the head of the next run, for frames that look back.
     """
-    placed = running(cg, ALERT, ROW, {"_seen": F.lit(1)}, {"start_us": "us"})
-    placed = placed.withColumn("rank_cg", F.col("_seen") - 1).drop("_seen", "_seen_total")
-    events = cg.withColumn("id", F.col("lightning_id"))
-    inside = probe_counts(events, events, ALERT, {"n": F.lit(1)}, {f"{m}": m * MINUTE for m in CG_MINUTES})
-    # peers after the row are in the time count but not in the position count
-    upto = running(cg.groupBy(*ALERT, "us").agg(F.count(F.lit(1)).alias("_n")), ALERT, ["us"], {"_upto": F.col("_n")})
-    placed = placed.join(
-        inside.select(*ALERT, F.col("id").alias("lightning_id"), *[F.col(f"n_{m}") for m in CG_MINUTES]),
-        [*ALERT, "lightning_id"],
-    ).join(upto.select(*ALERT, "us", "_upto"), [*ALERT, "us"])
-    placed = placed.withColumns(
-        {f"n_cg_{m}min": F.col(f"n_{m}") - (F.col("_upto") - 1 - F.col("rank_cg")) for m in CG_MINUTES}
-    ).drop("_upto", *[f"n_{m}" for m in CG_MINUTES])
-    reach = EMA_REACH + 8
+    if not cut:
+        w = Window.partitionBy(*ALERT).orderBy(*ROW)
+        cols = {
+            "rank": (F.row_number().over(w) - 1).cast("bigint"),
+            "start_us": F.min("us").over(w),
+            "prev_us": F.lag("us").over(w),
+            "x": F.row_number().over(w).cast("double"),
+            "total": F.count(F.lit(1)).over(Window.partitionBy(*ALERT)),
+            "_halo": F.lit(False),
+        }
+        return df.withColumns(cols), []
     if block_rows < reach:
         raise ValueError(f"a block must hold at least {reach} strikes")
-    tail = F.pmod(F.col("rank_cg"), F.lit(block_rows)) >= block_rows - reach
+    seen = running(df, ALERT, ROW, {"_seen": F.lit(1)}, {"start_us": "us"})
+    seen = seen.withColumns({"rank": F.col("_seen") - 1, "total": F.col("_seen_total")}).drop("_seen", "_seen_total")
+    tail = F.pmod(F.col("rank"), F.lit(block_rows)) >= block_rows - reach
     copies = F.when(tail, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    placed = placed.select("*", F.explode(copies).alias("_copy"))
-    return placed.withColumn("_block", F.floor(F.col("rank_cg") / block_rows) + F.col("_copy")).withColumn(
-        "_halo", F.col("_copy") == 1
-    ).drop("_copy")
+    spread = seen.select("*", F.explode(copies).alias("_copy"))
+    spread = spread.withColumn("_block", F.floor(F.col("rank") / block_rows) + F.col("_copy"))
+    w = Window.partitionBy(*ALERT, "_block").orderBy(*ROW)
+    near = {
+        "prev_us": F.lag("us").over(w),
+        "x": (F.col("rank") - F.col("_block") * block_rows).cast("double"),
+        "_halo": F.col("_copy") == 1,
+    }
+    return spread.withColumns(near).drop("_copy"), ["_block"]
+
+
+def cg_density(cg: DataFrame, cut: bool) -> DataFrame:
+    """``n_cg_*min``: CG strikes of the alert in [t - window, t], later peers of the same time left out.
+
+    ``cg`` holds the CG strikes with ``rank_cg``. Position + 1 counts what lies at or before the
+    row; taken off is what lies before the window.
+    """
+    if not cut:
+        w = Window.partitionBy(*ALERT).orderBy("us")
+        older = {m: F.count(F.lit(1)).over(up_to(w, m * MINUTE + 1)) for m in CG_MINUTES}
+        return cg.withColumns({f"n_cg_{m}min": F.col("rank_cg") + 1 - older[m] for m in CG_MINUTES})
+    events = cg.select(*ALERT, "us", F.col("lightning_id").alias("id"))
+    inside = probe_counts(events, events, ALERT, {"n": F.lit(1)}, {f"{m}": m * MINUTE for m in CG_MINUTES})
+    # the window count includes peers after the row
+    peer = events.groupBy(*ALERT, "us").agg(F.count(F.lit(1)).alias("_n"))
+    upto = running(peer, ALERT, ["us"], {"_upto": F.col("_n")}).select(*ALERT, "us", "_upto")
+    counted = cg.join(inside.withColumnRenamed("id", "lightning_id"), [*ALERT, "lightning_id"]).join(upto, [*ALERT, "us"])
+    after = F.col("_upto") - 1 - F.col("rank_cg")
+    return counted.withColumns({f"n_cg_{m}min": F.col(f"n_{m}") - after for m in CG_MINUTES}).drop(
+        "_upto", *[f"n_{m}" for m in CG_MINUTES]
+    )
 
 
 def last_rows(w: WindowSpec, n: int) -> WindowSpec:
@@ -149,28 +164,28 @@ def last_rows(w: WindowSpec, n: int) -> WindowSpec:
 
 def slope(value: Column, w: WindowSpec, n: int) -> Column:
     """Least-squares slope against the position, null on the group's first row."""
-    return F.regr_slope(value, F.col("rank_cg").cast("double")).over(last_rows(w, n))
+    return F.regr_slope(value, F.col("x")).over(last_rows(w, n))
 
 
 def ema(df: DataFrame, value: str, spans: tuple[int, ...], w: WindowSpec, first: Column, name: str) -> DataFrame:
     """Exponential means y = (1-a) y' + a x with a = 2 / (span + 1), started at the first value.
 
-    Doubling: a weighted sum over the last m rows plus the one m rows earlier, shrunk by
-    (1-a)^m, is the sum over the last 2m rows. Nine lags reach 512 rows; weights beyond
-    1e-17 are dropped.
+    Weighted sums over the last m rows, each shrunk by (1-a)^m for every m rows further back,
+    add up to the sum over the last 8 m rows; three rounds reach 512 rows with constant lags.
+    Weights below 1e-17 are dropped.
     """
     keep = {n: 1 - 2 / (n + 1) for n in spans}
     out = df.withColumns(
         {f"{name}_{n}": F.when(first, F.col(value)).otherwise(F.col(value) * (1 - keep[n])) for n in spans}
     )
     m = 1
-    while m < EMA_REACH and any(keep[n] ** m > 1e-17 for n in spans):
-        out = out.withColumns(
-            {
-                f"{name}_{n}": F.col(f"{name}_{n}") + keep[n] ** m * F.lag(f"{name}_{n}", m, 0.0).over(w)
-                for n in spans
-                if keep[n] ** m > 1e-17
-            }
-        )
-        m *= 2
+    while m < EMA_REACH:
+        grown = {}
+        for n in spans:
+            y = f"{name}_{n}"
+            shrinks = {i * m: keep[n] ** (i * m) for i in range(1, EMA_FAN) if keep[n] ** (i * m) > 1e-17}
+            if shrinks:
+                grown[y] = sum((k * F.lag(y, back, 0.0).over(w) for back, k in shrinks.items()), F.col(y))
+        out = out.withColumns(grown)
+        m *= EMA_FAN
     return out
