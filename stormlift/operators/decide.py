@@ -52,7 +52,7 @@ def baseline_end(strikes: DataFrame, gap_min: int = 30, scope: str = "all") -> D
 def oracle_predictions(strikes: DataFrame) -> DataFrame:
     """Ten predictions per alert around its true last strike; confidence grows with lateness."""
     last = strikes.filter(in_alert()).groupBy(*ALERT).agg(F.max(micros("date")).alias("_t"))
-    spread = last.select("*", F.explode(F.sequence(F.lit(-20), F.lit(16), F.lit(4))).alias("_i"))
+    spread = last.select("*", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(-20, 20, 4)])).alias("_i"))
     return spread.select(
         *ALERT,
         F.timestamp_micros(F.col("_t") + (F.col("_i") - 20) * MINUTE).alias("prediction_date"),

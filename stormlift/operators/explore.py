@@ -184,7 +184,9 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 
     def pair(a: str, b: str) -> Column:
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        return F.corr(F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double")))
+        x, y = (F.when(both, F.col(c).cast("double")) for c in (a, b))
+        spread = F.stddev_pop(x) * F.stddev_pop(y)  # 0 for a constant column: no correlation
+        return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
 
     one = df.agg(*[pair(a, b).alias(f"{a}|{b}") for a, b in pairs])
     cells = [

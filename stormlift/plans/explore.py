@@ -469,7 +469,7 @@ CORR = ["dist", "amp_abs", "maxis", "relative_pos", "time_since_start", "icloud_
     sql(
         "strikes",
         " UNION ALL ".join(
-            f"SELECT '{a}' AS \"row\", '{b}' AS col, {s6(f'corr({a}, {b})', 'r')} FROM m"
+            f"SELECT '{a}' AS \"row\", '{b}' AS col, {s6(f"nullif(corr({a}, {b}), CAST('NaN' AS DOUBLE))", 'r')} FROM m"
             for i, a in enumerate(CORR)
             for b in CORR[:i]
         ),
