@@ -178,7 +178,7 @@ def feature_importance(model: PipelineModel) -> DataFrame:
 def stack(rows: DataFrame, scores: list[str], k: int = FOLDS) -> DataFrame:
     """Logistic regression on out-of-fold scores, its penalty chosen by inner folds, outer folds as before."""
     assembler = VectorAssembler(inputCols=scores, outputCol="features")
-    lr = LogisticRegression(labelCol="y", maxIter=100)
+    lr = LogisticRegression(labelCol="y", maxIter=50)
     grid = ParamGridBuilder().addGrid(lr.regParam, [1e-4, 1e-2, 1.0]).build()
     judge = BinaryClassificationEvaluator(labelCol="y")
     ready = assembler.transform(rows).withColumn("_inner", F.pmod(F.xxhash64(*ALERT), F.lit(3)).cast("int"))

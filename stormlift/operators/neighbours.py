@@ -91,8 +91,8 @@ def nearest(points: DataFrame, k: int, tile: int = TILE) -> DataFrame:
         F.col("tile").alias("home"),
         F.explode(F.sequence("first", "last")).alias("tile"),
     ).filter(F.col("tile") != F.col("home"))
-    parties = asked.select("party", "tile").distinct()
-    hosts = tiled.select("id", "v", "tile").join(parties, "tile")
+    parties = asked.select(F.col("party").alias("host_party"), F.col("tile").alias("host_tile")).distinct()
+    residents_of = tiled.select("id", "v", F.col("tile").alias("host_tile")).join(parties, "host_tile")
 
     def host(key, visitors: pd.DataFrame, residents: pd.DataFrame) -> pd.DataFrame:
         if visitors.empty or residents.empty:
@@ -106,7 +106,11 @@ def nearest(points: DataFrame, k: int, tile: int = TILE) -> DataFrame:
             visitors["reach"].to_numpy(),
         )
 
-    away = asked.groupBy("party", "tile").cogroup(hosts.groupBy("party", "tile")).applyInPandas(host, PAIRS)
+    away = (
+        asked.groupBy("party", "tile")
+        .cogroup(residents_of.groupBy("host_party", "host_tile"))
+        .applyInPandas(host, PAIRS)
+    )
     ranked = at_home.unionByName(away).withColumn(
         "place", F.row_number().over(Window.partitionBy("id").orderBy("dist", "nid")).cast("bigint")
     )

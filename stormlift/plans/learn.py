@@ -149,7 +149,8 @@ def top_features(t):
 
 @query("stacking")
 def stacking(t):
-    return shown(L.stack(L.with_folds(t.scored().drop("fold")), ["s1", "s2", "s3"]).select(*IDS, "stacked"))
+    rows = materialise(L.with_folds(t.scored().drop("fold")).select(*IDS, "s1", "s2", "s3"), "scores")
+    return shown(L.stack(rows, ["s1", "s2", "s3"]).select(*IDS, "stacked"))
 
 
 @query("calibrate_isotonic")
@@ -170,7 +171,9 @@ def calibrate_platt(t):
 
 
 def plain_rows(t):
-    return t.features(context=False).select("lightning_id", F.col("is_last_lightning_cloud_ground").cast("int").alias("y"), *PLAIN)
+    rows = t.features(context=False)
+    label = F.col("is_last_lightning_cloud_ground").cast("int").alias("y")
+    return materialise(rows.select("lightning_id", label, *PLAIN), "plain")
 
 
 DISTANCE = "sqrt(" + " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in PLAIN) + ")"
