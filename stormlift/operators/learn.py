@@ -175,16 +175,17 @@ def feature_importance(model: PipelineModel) -> DataFrame:
     return SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double")
 
 
-def stack(rows: DataFrame, scores: list[str], k: int = FOLDS) -> DataFrame:
+def stack(rows: DataFrame, scores: list[str], k: int = FOLDS, iterations: int = 1000) -> DataFrame:
     """Logistic regression on out-of-fold scores, its penalty chosen by inner folds, outer folds as before."""
     assembler = VectorAssembler(inputCols=scores, outputCol="features")
-    lr = LogisticRegression(labelCol="y", maxIter=50)
+    lr = LogisticRegression(labelCol="y", maxIter=iterations)
     grid = ParamGridBuilder().addGrid(lr.regParam, [1e-4, 1e-2, 1.0]).build()
     judge = BinaryClassificationEvaluator(labelCol="y")
     ready = assembler.transform(rows).withColumn("_inner", F.pmod(F.xxhash64(*ALERT), F.lit(3)).cast("int"))
     parts = []
     for f in range(k):
-        cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=judge, numFolds=3, foldCol="_inner")
+        cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=judge, numFolds=3, foldCol="_inner",
+                            parallelism=len(grid))
         parts.append(cv.fit(ready.filter(F.col("fold") != f)).bestModel.transform(ready.filter(F.col("fold") == f)))
     out = parts[0]
     for p in parts[1:]:

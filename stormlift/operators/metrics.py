@@ -6,7 +6,7 @@ Everything rests on one table: positives and negatives per distinct score, with
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormlift.operators.ordered import running
@@ -126,30 +126,42 @@ def grid(points: int, lo: float = 0.05, hi: float = 0.95) -> list[float]:
 def f1_on_grid(scored: DataFrame, points: int, by: list[str] = (), score: str = "score") -> DataFrame:
     """F1, precision and recall at every grid threshold.
 
-    Rows are counted by the highest threshold they pass; thresholds then need suffix sums over
-    at most ``points`` rows per group.
+    Rows are counted by how many thresholds they pass, which the even spacing gives at once;
+    the sums from above then run over at most ``points`` + 1 rows per group.
     """
     by = list(by)
-    ts = grid(points)
-    passed = F.aggregate(
-        F.array(*[F.lit(t) for t in ts]), F.lit(0), lambda acc, t: acc + (F.col(score) >= t).cast("int")
-    )
+    lo, hi = 0.05, 0.95
+    step = (hi - lo) / (points - 1)
+
+    def threshold(i: Column) -> Column:
+        return F.when(i >= points - 1, F.lit(hi)).otherwise(F.lit(lo) + i * F.lit(step))
+
+    s = F.col(score)
+    guess = F.least(F.greatest(F.floor((s - lo) / step), F.lit(1)), F.lit(points - 2))  # off by one at most
+    passed = sum(((s >= threshold(guess + i)).cast("bigint") for i in (0, 1)), guess - 1) + (
+        s >= threshold(guess - 1)
+    ).cast("bigint")
     tally = scored.groupBy(*by, passed.alias("k")).agg(
         F.sum("y").cast("bigint").alias("pos"), F.sum(1 - F.col("y")).cast("bigint").alias("neg")
     )
-    wide = tally.groupBy(*by).agg(
-        F.sum("pos").alias("P"),
-        F.sum("neg").alias("N"),
-        *[F.coalesce(F.sum(F.when(F.col("k") > i, F.col("pos"))), F.lit(0)).alias(f"tp{i}") for i in range(points)],
-        *[F.coalesce(F.sum(F.when(F.col("k") > i, F.col("neg"))), F.lit(0)).alias(f"fp{i}") for i in range(points)],
-    )
-    rows = [
-        F.struct(F.lit(t).alias("threshold"), F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp"))
-        for i, t in enumerate(ts)
-    ]
-    tall = wide.select(*by, "P", "N", F.inline(F.array(*rows)))
+    groups = tally.select(*by).distinct() if by else scored.sparkSession.range(1).select()
+    zero = F.lit(0).cast("bigint")
+    ks = F.explode(F.sequence(zero, F.lit(points).cast("bigint"))).alias("k")
+    empty = groups.select(*by, ks).withColumns({"pos": zero, "neg": zero})
+    full = tally.unionByName(empty).groupBy(*by, "k").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    above = Window.partitionBy(*by).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*by)
+    summed = full.select(
+        *by,
+        "k",
+        F.sum("pos").over(above).alias("tp"),
+        F.sum("neg").over(above).alias("fp"),
+        F.sum("pos").over(whole).alias("P"),
+        F.sum("neg").over(whole).alias("N"),
+    ).filter(F.col("k") > 0)
     cm = confusion(F.col("tp"), F.col("fp"), F.col("P"), F.col("N"))
-    return tall.select(*by, "threshold", *[cm[k].alias(k) for k in ("f1", "precision", "recall")])
+    at = threshold(F.col("k") - 1).alias("threshold")
+    return summed.select(*by, at, *[cm[k].alias(k) for k in ("f1", "precision", "recall")])
 
 
 def best_on_grid(scored: DataFrame, points: int, by: list[str] = (), score: str = "score") -> DataFrame:

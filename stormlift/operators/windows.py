@@ -163,8 +163,13 @@ def last_rows(w: WindowSpec, n: int) -> WindowSpec:
 
 
 def slope(value: Column, w: WindowSpec, n: int) -> Column:
-    """Least-squares slope against the position, null on the group's first row."""
-    return F.regr_slope(value, F.col("x")).over(last_rows(w, n))
+    """Least-squares slope against the position, null on the group's first row.
+
+    Positions step by one, so their variance over k rows is (k^2 - 1) / 12 and only the
+    covariance is aggregated.
+    """
+    k = F.least(F.col("rank_cg") + 1, F.lit(n))
+    return F.when(k > 1, F.covar_pop(value, F.col("x")).over(last_rows(w, n)) * 12 / (k * k - 1))
 
 
 def ema(df: DataFrame, value: str, spans: tuple[int, ...], w: WindowSpec, first: Column, name: str) -> DataFrame:

@@ -50,6 +50,19 @@ def normalize_strikes(t):
     return shown(normalize(text))
 
 
+@query(
+    "derive_strikes",
+    sql(
+        "strikes",
+        f"""SELECT lightning_id, us AS date_us, {s6s('lon', 'lat')}, amplitude, maxis, icloud, dist, azimuth, airport,
+            airport_alert_id, is_last AS is_last_lightning_cloud_ground FROM strikes""",
+    ),
+)
+def derive_strikes(t):
+    """Alerts and labels found from raw strikes."""
+    return shown(t.derived_strikes())
+
+
 @query(
     "sink_roundtrip",
     sql("strikes", f"SELECT {STRIKE_COLS} FROM strikes"),

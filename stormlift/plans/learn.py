@@ -16,17 +16,16 @@ SIZE, DEPTH = 5, 3
 PLAIN = ["dt_prev_s", "dist", "amplitude", "maxis", "azimuth"]
 IDS = ["lightning_id", "airport", "airport_alert_id", "y", "fold"]
 
-_tables: dict[tuple, object] = {}
-
-
 def training(t):
     """The labelled model matrix with folds, written once per session and input."""
-    key = (t.spark.sparkContext.applicationId, t.sf_dir)
-    if key not in _tables:
+
+    def write():
         rows = t.features().withColumn("y", F.col("is_last_lightning_cloud_ground").cast("int"))
         rows = L.with_folds(model_matrix(encode_airport(rows), MODEL_COLUMNS))
-        _tables[key] = materialise(rows.select("lightning_id", "date", "airport", "airport_alert_id", "y", "fold", *MODEL_COLUMNS), "training")
-    return _tables[key]
+        keys = ["lightning_id", "date", "airport", "airport_alert_id", "y", "fold"]
+        return materialise(rows.select(*keys, *MODEL_COLUMNS), "training")
+
+    return t.once("training", write)
 
 
 def shown_scores(df):
@@ -149,20 +148,20 @@ def top_features(t):
 
 @query("stacking")
 def stacking(t):
-    rows = materialise(L.with_folds(t.scored().drop("fold")).select(*IDS, "s1", "s2", "s3"), "scores")
-    return shown(L.stack(rows, ["s1", "s2", "s3"]).select(*IDS, "stacked"))
+    rows = materialise(L.with_folds(t.scored_table().drop("fold")).select(*IDS, "s1", "s2", "s3"), "scores")
+    return shown(L.stack(rows, ["s1", "s2", "s3"], iterations=20).select(*IDS, "stacked"))
 
 
 @query("calibrate_isotonic")
 def calibrate_isotonic(t):
-    rows = t.scored().withColumn("score", F.col("s1"))
+    rows = t.scored_table().withColumn("score", F.col("s1"))
     fitted = L.isotonic(rows).transform(rows.withColumn("features", F.col("score")))
     return shown(fitted.select("lightning_id", "score", F.col("prediction").alias("calibrated")))
 
 
 @query("calibrate_platt")
 def calibrate_platt(t):
-    rows = t.scored().withColumn("score", F.col("s3"))
+    rows = t.scored_table().withColumn("score", F.col("s3"))
     model = L.platt(rows)
     line = F.lit(float(model.coefficients[0])), F.lit(float(model.intercept))
     p = F.least(F.greatest(F.col("score"), F.lit(1e-9)), F.lit(1 - 1e-9))

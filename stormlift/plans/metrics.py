@@ -42,7 +42,7 @@ def all_metrics(by: str, tag: str = "") -> str:
 
 
 def scored(t, score: str = "s1"):
-    return t.scored().withColumn("score", F.col(score))
+    return t.scored_table().withColumn("score", F.col(score))
 
 
 def grid_sql(points: int, by: str = "", tag: str = "", source: str = "scored", score: str = "s1") -> list[str]:
@@ -176,7 +176,7 @@ TALL = TALL.replace("ensemble AS s FROM", "(s1 + s2 + s3) / 3 AS s FROM")
 
 @query("model_table", sql("scored", all_metrics("name"), TALL, *table_cte("tall", "name", "s")))
 def model_table(t):
-    return shown(M.model_table(M.mean_ensemble(t.scored(), SCORES), [*SCORES, "ensemble"]))
+    return shown(M.model_table(M.mean_ensemble(t.scored_table(), SCORES), [*SCORES, "ensemble"]))
 
 
 @query(
@@ -191,7 +191,7 @@ def model_table(t):
     ),
 )
 def top_models(t):
-    table = M.model_table(M.mean_ensemble(t.scored(), SCORES), [*SCORES, "ensemble"])
+    table = M.model_table(M.mean_ensemble(t.scored_table(), SCORES), [*SCORES, "ensemble"])
     return shown(table.select("name", "f1").orderBy(F.desc("f1"), "name").limit(2))
 
 
@@ -200,7 +200,7 @@ def top_models(t):
     sql("scored", f"SELECT lightning_id, {s6('(s1 + s2 + s3) / 3', 'ensemble')} FROM scored"),
 )
 def ensemble_mean(t):
-    return shown(M.mean_ensemble(t.scored(), SCORES).select("lightning_id", "ensemble"))
+    return shown(M.mean_ensemble(t.scored_table(), SCORES).select("lightning_id", "ensemble"))
 
 
 @query(
@@ -243,7 +243,7 @@ TALL2 = "tall AS (SELECT 'old' AS name, y, s2 AS s FROM scored UNION ALL SELECT
     ),
 )
 def oof_compare(t):
-    rows = t.scored()
+    rows = t.scored_table()
     keys = ["airport", "airport_alert_id", "lightning_id"]
     old = rows.select(*keys, F.col("s2").alias("score"))
     return shown(M.oof_compare(old, rows.select(*keys, "y", F.col("s1").alias("score")), keys))

@@ -8,6 +8,7 @@ the batch result on the strikes that came in time.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from stormlift.functions.scalars import ALERT, HOUR, MINUTE, in_alert, is_cg, micros
 from stormlift.operators.features import CONTEXT, ROLL
 from stormlift.operators.windows import ALL_MINUTES, CG_MINUTES, HALO, IC_MINUTES
-from stormlift.workspace import new_path
+from stormlift.workspace import materialise, new_path
 
 DELAY = "10 minutes"
 GAP_US = 30 * MINUTE
@@ -101,11 +102,23 @@ EMPTY_ALERT = {"wait": [], "rank": 0, "start": None, "last_cg": None, "last": 0,
                "ema": [], "times": [], "lifted": False}
 
 
-def _slope(y: list[float]) -> float | None:
+def _mean(y: list[float]) -> float:
+    return sum(y) / len(y)
+
+
+def _sd(y: list[float]) -> float:
     if len(y) < 2:
+        return 0.0
+    m = _mean(y)
+    return math.sqrt(sum((v - m) ** 2 for v in y) / (len(y) - 1))
+
+
+def _slope(y: list[float]) -> float | None:
+    k = len(y)
+    if k < 2:
         return None
-    x = np.arange(len(y)) - (len(y) - 1) / 2
-    return float(np.dot(x, y) / np.dot(x, x))
+    mid = (k - 1) / 2
+    return sum((x - mid) * v for x, v in enumerate(y)) * 12 / (k * (k * k - 1))
 
 
 def _advance(a: dict, us: int, dist: float, amplitude: float) -> dict:
@@ -122,13 +135,13 @@ def _advance(a: dict, us: int, dist: float, amplitude: float) -> dict:
     for n, ema in zip(ROLL, a["ema"], strict=True):
         gaps, dists, amps = a["dt"][-n:], a["dist"][-n:], a["amp"][-n:]
         out |= {
-            f"dt_mean_{n}": float(np.mean(gaps)),
+            f"dt_mean_{n}": _mean(gaps),
             f"dt_max_{n}": max(gaps),
-            f"dt_std_{n}": float(np.std(gaps, ddof=1)) if len(gaps) > 1 else 0.0,
+            f"dt_std_{n}": _sd(gaps),
             f"dt_ema_{n}": ema,
-            f"dist_mean_{n}": float(np.mean(dists)),
+            f"dist_mean_{n}": _mean(dists),
             f"dist_trend_{n}": _slope(dists),
-            f"amp_mean_{n}": float(np.mean(amps)),
+            f"amp_mean_{n}": _mean(amps),
             f"amp_trend_{n}": _slope(amps),
         }
     out |= {f"n_cg_{m}min": sum(1 for x in a["times"] if x >= us - m * MINUTE) for m in CG_MINUTES}
@@ -273,6 +286,7 @@ def feed(strikes: DataFrame, slices: int = 3, copies: int = 1) -> str:
     all windows and states closed. ``copies`` delivers every slice that often.
     """
     spark = strikes.sparkSession
+    strikes = materialise(strikes, "replayed")
     path = new_path(spark, "feed")
     us = micros("date")
     lo, hi = strikes.agg(F.min(us), F.max(us)).first()
