@@ -94,14 +94,7 @@ def encode_airport(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
 def _per_alert(cg: DataFrame, blocks: list[str], v4: bool) -> DataFrame:
     """Lag, row-frame and exponential columns; all windows share one partitioning and order."""
     w = Window.partitionBy(*ALERT, *blocks).orderBy(*ROW)
-    df = cg.withColumns(
-        {
-            "t_since_start_s": (F.col("us") - F.col("start_us")) / 1e6,
-            "dt_prev_s": F.coalesce((F.col("us") - F.col("prev_us")) / 1e6, F.lit(0.0)),
-            "amp_abs": F.abs("amplitude"),
-            "amp_sign": F.signum("amplitude"),
-        }
-    )
+    df = _timed(cg)
     # the exponential means first: each of their rounds copies the row, which is still narrow here
     df = ema(df, "dt_prev_s", ROLL, w, F.col("rank_cg") == 0, "dt_ema")
     frames = {}
@@ -160,13 +153,38 @@ def _v4_ratios(df: DataFrame) -> DataFrame:
     )
 
 
-def _features(strikes: DataFrame, v4: bool, context: bool, split: str, split_rows: int) -> DataFrame:
+def _slim(strikes: DataFrame, split: str, split_rows: int) -> tuple[DataFrame, bool, bool]:
+    """The columns features need, and whether alerts and site-hours must be cut."""
     if split not in ("auto", "never", "always"):
         raise ValueError(f"split must be auto, never or always, not {split}")
     slim = strikes.select(*[c for c in [*KEYS, "icloud", *RAW] if c in strikes.columns]).withColumn("us", micros("date"))
-    big_alert, big_hour = (split == "always",) * 2
     if split == "auto":
-        big_alert, big_hour = largest_groups(slim, split_rows)
+        return slim, *largest_groups(slim, split_rows)
+    return slim, split == "always", split == "always"
+
+
+def position_features(strikes: DataFrame, split: str = "auto", split_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """Only position, gap and density columns: what simple gap rules need."""
+    slim, big_alert, _ = _slim(strikes, split, split_rows)
+    placed, _ = place(slim.filter(in_alert() & is_cg()), big_alert, split_rows, 1)
+    placed = placed.filter(~F.col("_halo")).withColumnRenamed("rank", "rank_cg")
+    df = cg_density(_timed(placed), big_alert)
+    return df.select(*[c for c in KEYS if c in df.columns], *POSITION, *DENSITY[:-1], *RAW)
+
+
+def _timed(placed: DataFrame) -> DataFrame:
+    return placed.withColumns(
+        {
+            "t_since_start_s": (F.col("us") - F.col("start_us")) / 1e6,
+            "dt_prev_s": F.coalesce((F.col("us") - F.col("prev_us")) / 1e6, F.lit(0.0)),
+            "amp_abs": F.abs("amplitude"),
+            "amp_sign": F.signum("amplitude"),
+        }
+    )
+
+
+def _features(strikes: DataFrame, v4: bool, context: bool, split: str, split_rows: int) -> DataFrame:
+    slim, big_alert, big_hour = _slim(strikes, split, split_rows)
     wanted = in_alert() & is_cg()
     if context:
         cg = context_counts(slim, wanted, dense=big_hour)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stormlift.functions.scalars import micros
 from stormlift.operators.decide import prediction_rows
-from stormlift.operators.features import features_v4
+from stormlift.operators.features import features_v4, position_features
 from stormlift.operators.windows import MAX_GROUP_ROWS, largest_groups
 from stormlift.sources import events
 from stormlift.workspace import materialise
@@ -90,7 +90,7 @@ class Tables:
 
     def scored(self) -> DataFrame:
         """Labelled CG strikes with the three fixture scores."""
-        return self.features(context=False).select(
+        return position_features(self.strikes(), "always" if self.big()[0] else "never").select(
             "lightning_id",
             "date",
             "airport",
