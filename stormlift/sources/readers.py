@@ -7,7 +7,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from stormlift.sources.schema import PREDICTIONS, STRIKES, check_contract, normalize, text_schema
 
-MICROS = "yyyy-MM-dd HH:mm:ss.SSSSSSXXX"  # the default CSV format drops microseconds
+MICROS = "yyyy-MM-dd HH:mm:ss.SSSSSSXXX"  # the default text format drops microseconds
 
 
 def read_strikes(spark: SparkSession, path: str, fmt: str = "csv", rows: int | None = None) -> DataFrame:
@@ -48,8 +48,10 @@ def read_predictions(spark: SparkSession, path: str, fmt: str = "csv") -> DataFr
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", by: list[str] | None = None) -> None:
     writer = df.write.format(fmt)
+    if fmt in ("csv", "json"):
+        writer = writer.option("timestampFormat", MICROS)
     if fmt == "csv":
-        writer = writer.option("header", True).option("timestampFormat", MICROS)
+        writer = writer.option("header", True)
     if by:
         writer = writer.partitionBy(*by)
     writer.save(path)
