@@ -80,7 +80,9 @@ def _take_ready(state: GroupState, waiting: list, batches: Iterator[pd.DataFrame
     """(rows the watermark has passed, in time order; rows still waiting). A row is [us, id, ...]."""
     if not state.hasTimedOut:
         for pdf in batches:
-            waiting.extend(list(r) for r in zip(*[pdf[c].tolist() for c in columns], strict=True))
+            # object columns may hold NumPy scalars, which JSON does not take
+            plain = [[v.item() if isinstance(v, np.generic) else v for v in pdf[c].tolist()] for c in columns]
+            waiting.extend(list(r) for r in zip(*plain, strict=True))
     passed = state.getCurrentWatermarkMs() * 1000
     waiting.sort(key=lambda r: (r[0], r[1]))
     cut = sum(1 for r in waiting if r[0] <= passed)
@@ -244,7 +246,7 @@ def live_context(strikes: DataFrame, delay: str = DELAY) -> DataFrame:
     windows = [(1, m) for m in IC_MINUTES] + [(0, m) for m in ALL_MINUTES]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        airport, hour = key
+        airport, hour = key[0], int(key[1])
         kept = _open_state(state, {"wait": [], "seen": []})
         ready, kept["wait"], passed = _take_ready(
             state, kept["wait"], batches, ["us", "lightning_id", "icloud", "alert", "copy"]
@@ -283,7 +285,9 @@ def feed(strikes: DataFrame, slices: int = 3, copies: int = 1) -> str:
     """Write a strike table as a stream source: files in time order, then one far-off strike.
 
     The far-off strike moves the watermark past everything before it, so a replay ends with
-    all windows and states closed. ``copies`` delivers every slice that often.
+    all windows and states closed. ``copies`` delivers every slice that often. A slice may be
+    several files without order among them: a replay in smaller batches than a slice needs
+    ``strikes`` in one partition, or a delay as long as a slice.
     """
     spark = strikes.sparkSession
     strikes = materialise(strikes, "replayed")
