@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormlift.functions.scalars import ALERT, MINUTE, decision_label, in_alert, is_cg, micros
-from stormlift.operators.windows import MAX_GROUP_ROWS, ROW, place
+from stormlift.operators.windows import MAX_GROUP_ROWS, ROW, must_cut, place
 
 THETA = 0.85
 
@@ -28,11 +28,11 @@ def first_crossing(preds: DataFrame, theta: float = THETA) -> DataFrame:
 
 
 def k_consecutive(
-    scored: DataFrame, theta: float = THETA, k: int = 2, cut: bool = False, block_rows: int = MAX_GROUP_ROWS
+    scored: DataFrame, theta: float = THETA, k: int = 2, split: str = "auto", split_rows: int = MAX_GROUP_ROWS
 ) -> DataFrame:
     """First strike of each alert that closes ``k`` scores in a row >= theta."""
     slim = scored.select("lightning_id", *ALERT, micros("date").alias("us"), "confidence")
-    placed, blocks = place(slim, cut, block_rows, k)
+    placed, blocks = place(slim, must_cut(slim, split, split_rows)[0], split_rows, k)
     w = Window.partitionBy(*ALERT, *blocks).orderBy(*ROW)
     run = F.sum((F.col("confidence") >= theta).cast("int")).over(w.rowsBetween(-(k - 1), 0))
     hits = placed.withColumn("_run", run).filter((F.col("_run") == k) & ~F.col("_halo"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stormlift.functions.scalars import ALERT, MINUTE, clip, in_alert, is_cg, micros
 from stormlift.operators.ordered import quantiles, running
-from stormlift.operators.windows import MAX_GROUP_ROWS, place
+from stormlift.operators.windows import MAX_GROUP_ROWS, must_cut, place
 
 
 
@@ -161,13 +161,13 @@ def histogram(
     )
 
 
-def alert_clock(strikes: DataFrame, cut: bool = False, block_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def alert_clock(strikes: DataFrame, split: str = "auto", split_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """In-alert strikes with position columns; ``total_in_alert`` and ``relative_pos`` know the future.
 
-    Exploration only. ``cut`` splits alerts too large for one task into blocks.
+    Exploration only. ``split`` as in ``features_v3``.
     """
     inside = strikes.filter(in_alert()).withColumn("us", micros("date"))
-    placed, _ = place(inside, cut, block_rows, 1)
+    placed, _ = place(inside, must_cut(inside, split, split_rows)[0], split_rows, 1)
     return placed.filter(~F.col("_halo")).select(
         *strikes.columns,
         F.col("rank").alias("rank_in_alert"),
@@ -225,10 +225,10 @@ def first_alerts(strikes: DataFrame) -> DataFrame:
     return strikes.filter(in_alert()).groupBy("airport").agg(F.min("airport_alert_id").alias("airport_alert_id"))
 
 
-def trajectory(strikes: DataFrame, cut: bool = False) -> DataFrame:
+def trajectory(strikes: DataFrame, split: str = "auto") -> DataFrame:
     """Points of distance over minutes into the alert, by strike class."""
     kind = F.when(F.col("is_last_lightning_cloud_ground"), "last_cg").when(F.col("icloud"), "ic").otherwise("cg")
-    return alert_clock(strikes, cut).select(
+    return alert_clock(strikes, split).select(
         "lightning_id", *ALERT, F.col("time_since_start").alias("t_min"), "dist", "lon", "lat", kind.alias("kind")
     )
 

@@ -17,8 +17,8 @@ from stormlift.operators.windows import (
     cg_density,
     context_counts,
     ema,
-    largest_groups,
     last_rows,
+    must_cut,
     place,
     slope,
 )
@@ -155,12 +155,8 @@ def _v4_ratios(df: DataFrame) -> DataFrame:
 
 def _slim(strikes: DataFrame, split: str, split_rows: int) -> tuple[DataFrame, bool, bool]:
     """The columns features need, and whether alerts and site-hours must be cut."""
-    if split not in ("auto", "never", "always"):
-        raise ValueError(f"split must be auto, never or always, not {split}")
     slim = strikes.select(*[c for c in [*KEYS, "icloud", *RAW] if c in strikes.columns]).withColumn("us", micros("date"))
-    if split == "auto":
-        return slim, *largest_groups(slim, split_rows)
-    return slim, split == "always", split == "always"
+    return slim, *must_cut(slim, split, split_rows)
 
 
 def position_features(strikes: DataFrame, split: str = "auto", split_rows: int = MAX_GROUP_ROWS) -> DataFrame:

@@ -4,6 +4,9 @@ Points are put in the order of one projection and cut into equal tiles. A point
 its own tile; the k-th distance found bounds how far along the projection a nearer point can
 lie, and the point visits exactly the tiles inside that bound. Results are exact for any data;
 how many tiles are visited depends on how well one projection separates the points.
+
+Equal points are settled beforehand. With ties going to the lower id, only the k lowest ids of
+a group of copies can be anyone's neighbour, and a point with k copies needs no search.
 """
 
 from __future__ import annotations
@@ -24,9 +27,30 @@ TILE = 2048
 TILES_PER_GROUP = 8  # query tiles that visit together: at most TILE x this many visitors in a task
 CHUNK = 256
 
+SALTS = 256  # parts a group of copies is ranked in
+
 PAIRS = "id bigint, nid bigint, dist double"
 
 
+def _lowest_copies(points: DataFrame, keep: int) -> DataFrame:
+    """The ``keep`` lowest ids of each distinct vector with their ``place``, ranked in salted parts first."""
+    salted = points.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("_salt"))
+    part = Window.partitionBy("v", "_salt").orderBy("id")
+    short = salted.withColumn("_n", F.row_number().over(part)).filter(F.col("_n") <= keep)
+    whole = Window.partitionBy("v").orderBy("id")
+    return short.select("id", "v", F.row_number().over(whole).alias("place")).filter(F.col("place") <= keep)
+
+
+def _split_copies(points: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(points that can be neighbours, with ``ask`` where they still need theirs; settled pairs)."""
+    counts = points.groupBy("v").agg(F.count("*").alias("m"))
+    low = materialise(_lowest_copies(points, k + 1).join(counts, "v"), "copies")
+    crowds = low.filter(F.col("m") > k).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("_low"))
+    others = F.slice(F.filter("_low", lambda x: x != F.col("id")), 1, k)
+    settled = points.join(crowds, "v").select("id", F.explode(others).alias("nid"), F.lit(0.0).alias("dist"))
+    return low.filter(F.col("place") <= k).select("id", "v", (F.col("m") <= k).alias("ask")), settled
+
+
 def _best(ids, vecs, tile_ids, tile_vecs, k: int, limits=None) -> pd.DataFrame:
     """The k nearest tile points of each query, ties to the lower id; a point is not its own neighbour."""
     order = np.argsort(tile_ids, kind="stable")
@@ -50,23 +74,23 @@ def _best(ids, vecs, tile_ids, tile_vecs, k: int, limits=None) -> pd.DataFrame:
 
 def nearest(points: DataFrame, k: int, tile: int = TILE) -> DataFrame:
     """(id, nid, dist, place) for the k nearest neighbours of every point. ``points``: id, v array<double>."""
-    width = points.select(F.size("v")).first()
-    if width is None:
+    if points.isEmpty():
         return points.sparkSession.createDataFrame([], PAIRS + ", place bigint")
+    points, settled = _split_copies(points, k)
     fitted = PCA(k=1, inputCol="_x", outputCol="_p").fit(points.select(array_to_vector("v").alias("_x")))
     axis = fitted.pc.toArray()[:, 0]
     axis = axis / np.linalg.norm(axis)
     along = F.aggregate(
         F.zip_with("v", F.array(*[F.lit(float(a)) for a in axis]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x
     )
-    placed = dense_index(points.select("id", "v", along.alias("p")), ["p", "id"], "g")
-    tiled = materialise(placed.select("id", "v", "p", F.floor(F.col("g") / tile).alias("tile")), "tiles")
+    placed = dense_index(points.select("id", "v", "ask", along.alias("p")), ["p", "id"], "g")
+    tiled = materialise(placed.select("id", "v", "ask", "p", F.floor(F.col("g") / tile).alias("tile")), "tiles")
 
     def own(pdf: pd.DataFrame) -> pd.DataFrame:
-        vecs, ids = np.stack(pdf["v"].to_numpy()), pdf["id"].to_numpy()
-        return _best(ids, vecs, ids, vecs, k)
+        vecs, ids, ask = np.stack(pdf["v"].to_numpy()), pdf["id"].to_numpy(), pdf["ask"].to_numpy(dtype=bool)
+        return _best(ids[ask], vecs[ask], ids, vecs, k)
 
-    at_home = materialise(tiled.select("id", "v", "tile").groupBy("tile").applyInPandas(own, PAIRS), "near")
+    at_home = materialise(tiled.select("id", "v", "ask", "tile").groupBy("tile").applyInPandas(own, PAIRS), "near")
     reach = at_home.groupBy("id").agg(F.when(F.count("*") == k, F.max("dist")).alias("reach"))
     # tile edges: one pair of numbers per tile of points
     edges = tiled.groupBy("tile").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).orderBy("tile").collect()
@@ -80,7 +104,7 @@ def nearest(points: DataFrame, k: int, tile: int = TILE) -> DataFrame:
             last = np.searchsorted(lows, pdf["p"] + r, side="right") - 1
             yield pdf.assign(first=first, last=last)
 
-    spans = tiled.join(reach, "id", "left").mapInPandas(
+    spans = tiled.filter("ask").drop("ask").join(reach, "id", "left").mapInPandas(
         visits, "id bigint, v array<double>, p double, tile bigint, reach double, first bigint, last bigint"
     )
     asked = spans.select(
@@ -111,7 +135,7 @@ def nearest(points: DataFrame, k: int, tile: int = TILE) -> DataFrame:
         .cogroup(residents_of.groupBy("host_party", "host_tile"))
         .applyInPandas(host, PAIRS)
     )
-    ranked = at_home.unionByName(away).withColumn(
+    ranked = at_home.unionByName(away).unionByName(settled).withColumn(
         "place", F.row_number().over(Window.partitionBy("id").orderBy("dist", "nid")).cast("bigint")
     )
     return ranked.filter(F.col("place") <= k)

@@ -44,6 +44,15 @@ def largest_groups(strikes: DataFrame, split_rows: int) -> tuple[bool, bool]:
     return (sized[0] or 0) > split_rows, (sized[1] or 0) > split_rows
 
 
+def must_cut(strikes: DataFrame, split: str, split_rows: int) -> tuple[bool, bool]:
+    """Whether alerts, and site-hours, are to be cut. ``auto`` measures, the other two say so."""
+    if split not in ("auto", "never", "always"):
+        raise ValueError(f"split must be auto, never or always, not {split}")
+    if split == "auto":
+        return largest_groups(strikes, split_rows)
+    return split == "always", split == "always"
+
+
 def context_counts(strikes: DataFrame, wanted: Column, dense: bool = False) -> DataFrame:
     """``wanted`` strikes with the airport-wide ``n_ic_*min`` and ``n_all_*min`` counts.
 

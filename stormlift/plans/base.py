@@ -80,9 +80,12 @@ class Tables:
         us = micros("date")
         return self.once("big", lambda: largest_groups(self.strikes().withColumn("us", us), MAX_GROUP_ROWS))
 
+    def split(self) -> str:
+        return "always" if any(self.big()) else "never"
+
     def features(self, context: bool = True) -> DataFrame:
         """The V4 table; unused columns and their windows are pruned by the optimizer."""
-        return features_v4(self.strikes(), context, "always" if any(self.big()) else "never")
+        return features_v4(self.strikes(), context, self.split())
 
     def scored_table(self) -> DataFrame:
         """``scored``, written once: the out-of-fold table metrics are computed from."""
@@ -90,7 +93,7 @@ class Tables:
 
     def scored(self) -> DataFrame:
         """Labelled CG strikes with the three fixture scores."""
-        return position_features(self.strikes(), "always" if self.big()[0] else "never").select(
+        return position_features(self.strikes(), self.split()).select(
             "lightning_id",
             "date",
             "airport",

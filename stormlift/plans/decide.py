@@ -299,7 +299,7 @@ def alert_trace(t):
     ),
 )
 def k_consecutive(t):
-    return D.k_consecutive(t.confident(), k=2, cut=t.big()[0])
+    return D.k_consecutive(t.confident(), k=2, split=t.split())
 
 
 @query(

@@ -438,7 +438,7 @@ def hist_by_label(t):
 )
 def hist_clipped(t):
     """Gaps to the previous strike of the alert, clipped to ten minutes, last against other strikes."""
-    rows = X.alert_clock(t.strikes(), t.big()[0]).filter(F.col("is_last_lightning_cloud_ground").isNotNull())
+    rows = X.alert_clock(t.strikes(), t.split()).filter(F.col("is_last_lightning_cloud_ground").isNotNull())
     rows = rows.withColumnRenamed("is_last_lightning_cloud_ground", "is_last")
     return shown(X.histogram(rows, F.col("time_prev"), 50, ["is_last"], (0, 600)))
 
@@ -468,7 +468,7 @@ def type_by_label(t):
 )
 def eda_positions(t):
     return shown(
-        X.alert_clock(t.strikes(), t.big()[0]).select(
+        X.alert_clock(t.strikes(), t.split()).select(
             "lightning_id", "rank_in_alert", "total_in_alert", "time_prev", "time_since_start", "relative_pos"
         )
     )
@@ -492,7 +492,7 @@ CORR = ["dist", "amp_abs", "maxis", "relative_pos", "time_since_start", "icloud_
     ),
 )
 def corr_matrix(t):
-    rows = X.alert_clock(t.strikes(), t.big()[0]).withColumns(
+    rows = X.alert_clock(t.strikes(), t.split()).withColumns(
         {
             "amp_abs": F.abs("amplitude"),
             "icloud_int": F.col("icloud").cast("int"),
@@ -556,7 +556,7 @@ def random_alert(t):
     ),
 )
 def alert_trajectory(t):
-    return shown(X.trajectory(t.strikes(), t.big()[0]))
+    return shown(X.trajectory(t.strikes(), t.split()))
 
 
 @query(

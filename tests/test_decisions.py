@@ -91,7 +91,7 @@ def test_k_consecutive_also_in_blocks(spark):
     df = spark.createDataFrame(rows, "lightning_id long, airport string, airport_alert_id long, date timestamp, confidence double")
     want = int(at(4).timestamp() * 1e6)
     assert [r.lift_us for r in D.k_consecutive(df, k=3).collect()] == [want]
-    assert [r.lift_us for r in D.k_consecutive(df, k=3, cut=True, block_rows=3).collect()] == [want]
+    assert [r.lift_us for r in D.k_consecutive(df, k=3, split="always", split_rows=3).collect()] == [want]
 
 
 def test_alert_kpis(spark):

@@ -84,7 +84,9 @@ def test_pack_roundtrip(spark, rows, tmp_path):
 @pytest.mark.parametrize("tile,k", [(16, 3), (64, 1), (1000, 5), (4, 5)])
 def test_nearest_is_exact(spark, tile, k):
     rng = np.random.default_rng(tile)
-    v = np.vstack([rng.normal(0, 1, (150, 4)), rng.normal(8, 0.01, (100, 4)), np.ones((30, 4))]).round(3)
+    # a cloud, a tight lump, and groups of 2 and 30 copies
+    v = np.vstack([rng.normal(0, 1, (150, 4)), rng.normal(8, 0.01, (100, 4)), np.ones((30, 4)), np.full((2, 4), 5)]).round(3)
+    rng.shuffle(v)
     df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "id long, v array<double>")
     got = {}
     for r in nearest(df, k, tile).collect():
