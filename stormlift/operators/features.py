@@ -28,11 +28,8 @@ V4_ROLL = 15
 
 RAW = ["dist", "azimuth", "amplitude", "maxis"]
 POSITION = ["rank_cg", "t_since_start_s", "dt_prev_s", "amp_abs", "amp_sign"]
-ROLLING = [
-    f"{stem}_{n}"
-    for n in ROLL
-    for stem in ("dt_mean", "dt_max", "dt_std", "dt_ema", "dist_mean", "dist_trend", "amp_mean", "amp_trend")
-]
+STEMS = ("dt_mean", "dt_max", "dt_std", "dt_ema", "dist_mean", "dist_trend", "amp_mean", "amp_trend")
+ROLLING = [f"{stem}_{n}" for n in ROLL for stem in STEMS]
 DENSITY = [f"n_cg_{m}min" for m in CG_MINUTES] + ["rate_decline_cg"]
 CONTEXT = [f"n_ic_{m}min" for m in IC_MINUTES] + [f"n_all_{m}min" for m in ALL_MINUTES]
 RATIOS = ["ratio_ic_cg_5min", "ratio_ic_cg_10min", "ic_trend", "total_activity", "activity_decline"]
@@ -91,14 +88,14 @@ def encode_airport(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return df.join(codes, "airport", "left").withColumn("airport_enc", F.coalesce("airport_enc", F.lit(0)))
 
 
-def _per_alert(cg: DataFrame, blocks: list[str], v4: bool) -> DataFrame:
+def _per_alert(cg: DataFrame, blocks: list[str], v4: bool, rolls: tuple[int, ...]) -> DataFrame:
     """Lag, row-frame and exponential columns; all windows share one partitioning and order."""
     w = Window.partitionBy(*ALERT, *blocks).orderBy(*ROW)
     df = _timed(cg)
     # the exponential means first: each of their rounds copies the row, which is still narrow here
-    df = ema(df, "dt_prev_s", ROLL, w, F.col("rank_cg") == 0, "dt_ema")
+    df = ema(df, "dt_prev_s", rolls, w, F.col("rank_cg") == 0, "dt_ema")
     frames = {}
-    for n in ROLL:
+    for n in rolls:
         rows = last_rows(w, n)
         frames |= {
             f"dt_mean_{n}": F.avg("dt_prev_s").over(rows),
@@ -179,7 +176,9 @@ def _timed(placed: DataFrame) -> DataFrame:
     )
 
 
-def _features(strikes: DataFrame, v4: bool, context: bool, split: str, split_rows: int) -> DataFrame:
+def _features(
+    strikes: DataFrame, v4: bool, context: bool, split: str, split_rows: int, rolls: tuple[int, ...] = ROLL
+) -> DataFrame:
     slim, big_alert, big_hour = _slim(strikes, split, split_rows)
     wanted = in_alert() & is_cg()
     if context:
@@ -191,13 +190,14 @@ def _features(strikes: DataFrame, v4: bool, context: bool, split: str, split_row
     placed = placed.withColumnRenamed("rank", "rank_cg").drop("total")
     if big_alert:  # counts first: they need each strike once
         counts = cg_density(placed.filter(~F.col("_halo")), True).select("lightning_id", *DENSITY[:-1])
-        df = _per_alert(placed, blocks, v4).filter(~F.col("_halo")).join(counts, "lightning_id")
+        df = _per_alert(placed, blocks, v4, rolls).filter(~F.col("_halo")).join(counts, "lightning_id")
     else:
-        df = _per_alert(cg_density(placed, False), blocks, v4)
+        df = _per_alert(cg_density(placed, False), blocks, v4, rolls)
     df = _ratios(df)
     if v4:
         df = _v4_ratios(df)
     names = V4 if v4 else V3
+    names = [*names, *[c for n in rolls for stem in STEMS if (c := f"{stem}_{n}") not in names]]
     return df.select(*[c for c in KEYS if c in df.columns], *names)
 
 
@@ -214,10 +214,14 @@ def features_v3(
 
 
 def features_v4(
-    strikes: DataFrame, context: bool = True, split: str = "auto", split_rows: int = MAX_GROUP_ROWS
+    strikes: DataFrame,
+    context: bool = True,
+    split: str = "auto",
+    split_rows: int = MAX_GROUP_ROWS,
+    also: tuple[int, ...] = (),
 ) -> DataFrame:
-    """``features_v3`` plus the ten columns of the fourth version."""
-    return _features(strikes, True, context, split, split_rows)
+    """``features_v3`` plus the ten columns of the fourth version; ``also`` adds row-frame lengths."""
+    return _features(strikes, True, context, split, split_rows, (*ROLL, *also))
 
 
 def cold_start_features(rows: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from stormlift.operators.features import (
     CONTEXT,
     RATIOS,
     ROLL,
+    STEMS,
     TUNED_V4,
     V3,
     V4,
@@ -18,6 +19,7 @@ from stormlift.operators.features import (
     encode_airport,
     model_matrix,
 )
+from stormlift.operators.features import features_v4 as build_v4
 from stormlift.operators.windows import context_counts, context_counts_by_join
 from stormlift.plans.base import query, s6, shown, sql
 
@@ -126,15 +128,23 @@ def features_v4(t):
     return pick(t, V4, context=True)
 
 
+FIFTEEN = [f"{stem}_15" for stem in STEMS]
+
+
+@query("feat_windows_15", feat_sql(FIFTEEN))
+def feat_windows_15(t):
+    """All row-frame columns over fifteen strikes, as the evaluation table has them."""
+    table = build_v4(t.strikes(), context=False, split=t.split(), also=(15,))
+    return shown(table.select("lightning_id", *FIFTEEN))
+
+
 @query(
     "features_v4_blocked",
     feat_sql(V4),
 )
 def features_v4_blocked(t):
     """The same table computed in blocks, the form for alerts too large for one task."""
-    from stormlift.operators.features import features_v4 as build
-
-    return shown(build(t.strikes(), split="always", split_rows=1024).select("lightning_id", *V4))
+    return shown(build_v4(t.strikes(), split="always", split_rows=1024).select("lightning_id", *V4))
 
 
 @query(

@@ -162,7 +162,7 @@ def _per_alert(emit: Callable[[dict, list, dict], dict | None], columns: list[st
         rows = []
         for us, lid, icloud, dist, amplitude in ready:
             alert["last"] = us
-            if not icloud:
+            if not icloud and not alert["lifted"]:  # a lifted alert only waits for its end
                 made = emit(alert, [lid, us, *key], _advance(alert, us, dist, amplitude))
                 if made is not None:
                     rows.append(made)
@@ -206,8 +206,6 @@ def live_decisions(
     names = ["lightning_id", "us", *ALERT, "confidence"]
 
     def emit(alert: dict, ids: list, features: dict) -> dict | None:
-        if alert["lifted"]:
-            return None
         c = float(confidence(features))
         if c < theta:
             return None
