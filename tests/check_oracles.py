@@ -51,7 +51,7 @@ def compare(spark, con, name, fn, sql, sf_dir) -> tuple[str, int]:
         return f"VALUES {len(bad)} rows, first {diff[:4]}", len(got)
     kinds = {c: str(t) for c, t in zip(rel.columns, rel.types, strict=True)}
     spark_kinds = dict(df.dtypes)
-    same = {"BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+    same = {"BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean", "INTEGER": "int"}
     off = [(c, spark_kinds[c], k) for c, k in kinds.items() if same.get(k) != spark_kinds[c]]
     return (f"TYPES {off}" if off else "ok"), len(got)
 
