@@ -12,11 +12,10 @@ from pyspark.sql import DataFrame
 BITS, PROBES = 1 << 26, 4
 
 
-def _probes(keys: np.ndarray) -> np.ndarray:
-    """Bit numbers of 64-bit keys, one row for each probe."""
+def _probe(keys: np.ndarray, k: int) -> np.ndarray:
+    """Bit numbers of 64-bit keys for probe ``k``."""
     mixed = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    step = (mixed >> np.uint64(17)) | np.uint64(1)
-    return np.stack([(mixed + np.uint64(k) * step) >> np.uint64(64 - 26) for k in range(PROBES)]).astype(np.int64)
+    return ((mixed * np.uint64(2 * k + 1) + np.uint64(k) * (keys >> np.uint64(7))) >> np.uint64(64 - 26)).astype(np.int64)
 
 
 def as_numbers(keys: Sequence[bytes] | np.ndarray) -> np.ndarray:
@@ -31,8 +30,14 @@ class Bloom:
         self.bits = bits
 
     def holds(self, keys: Sequence[bytes] | np.ndarray) -> np.ndarray:
-        at = _probes(as_numbers(keys))
-        return ((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)
+        keys = as_numbers(keys)
+        left = np.arange(len(keys))
+        for k in range(PROBES):  # most keys fail the first probe
+            at = _probe(keys[left], k)
+            left = left[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+        out = np.zeros(len(keys), bool)
+        out[left] = True
+        return out
 
     @staticmethod
     def of(df: DataFrame, column: str) -> Bloom:
@@ -43,8 +48,9 @@ class Bloom:
             for batch in batches:
                 keys = batch.column(0)
                 keys = keys.to_pylist() if pa.types.is_binary(keys.type) else keys.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                at = _probes(as_numbers(keys)).ravel()
-                np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+                for k in range(PROBES):
+                    at = _probe(as_numbers(keys), k)
+                    np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
             yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
 
         bits = np.zeros(BITS // 8, np.uint8)
