@@ -80,6 +80,7 @@ def cut_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     at = np.flatnonzero((h >> np.uint32(32 - CUT_BITS)) == 0) + 1
     at = at[at < len(data)]
     at = at[(data[at] & 0xC0) != 0x80]
+    at = at[at - offsets[np.searchsorted(offsets, at, "right") - 1] >= WINDOW]  # the hash must not see the text before
     at = np.union1d(at, offsets[1:])
     gaps = np.diff(at, prepend=0)
     if (gaps > MOST).any():  # a long stretch without a cut is cut at a fixed length

@@ -59,3 +59,14 @@ def test_round_trip_and_empty_table(spark):
     back = bpe.bpe_decode(bpe.bpe_encode(df)).collect()
     assert {r["doc_id"]: r["decoded"] for r in back} == {1: "Grüße, don't panic\n 42", 2: ""}
     assert bpe.bpe_encode(df.limit(0)).count() == 0
+
+
+def test_cuts_depend_on_the_text_alone():
+    rng = random.Random(9)
+    made = [" ".join(rng.choice(["the", "tion", "éa", "x"]) for _ in range(rng.randrange(0, 900))) for _ in range(60)]
+    raw = "".join(made).encode()
+    offsets = np.cumsum([0, *(len(t.encode()) for t in made)])
+    together = bpe.chunks(np.frombuffer(raw, np.uint8), offsets)
+    for row, text in enumerate(made):
+        alone = [(a, b) for _, a, b in bpe.chunks(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))]
+        assert [(a - offsets[row], b - offsets[row]) for r, a, b in together if r == row] == alone
