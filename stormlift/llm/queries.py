@@ -1,6 +1,6 @@
 """The corpus queries; the operator modules register themselves."""
 
-from stormlift.llm import bpe, decontaminate, lines, quality, secrets, simhash, topk, urls  # noqa: F401
+from stormlift.llm import bpe, decontaminate, lines, quality, secrets, simhash, topk, toxicity, urls  # noqa: F401
 from stormlift.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
