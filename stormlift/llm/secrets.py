@@ -25,11 +25,11 @@ ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: A candidate of the token test: a run of these characters with a digit and a letter.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Hex lengths of common digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512), and identifiers made of words and numbers.
+#: Hex lengths of common digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512), and identifiers made of words and numbers (no back-tracking).
 DIGEST_CHARS = {32, 40, 56, 64, 96, 128}
 DIGEST = re.compile(r"[0-9a-fA-F]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-IDENTIFIER = re.compile(r"(?:[A-Za-z][a-z]{2,}|[A-Z]{3,}|[0-9]+|[+/_=-])+")
+IDENTIFIER = re.compile(r"(?>[A-Za-z][a-z]++|[A-Z]{2,}+|[0-9]++|[+/_=-])++")
 #: Random strings reach about 1.4 to 1.9 characters a token; words and names stand above 2.
 MAX_CHARS_PER_TOKEN = 2.0
 
