@@ -32,11 +32,11 @@ SPAN, DECAY = 6, 0.6
 GAPS = tuple((a, b, DECAY ** (b - 2)) for b in range(2, SPAN) for a in range(1, b))
 #: 32 character classes: 0 is skipped, 1 to 26 letters, 27 and 28 word begin and end, 29 to 31 other bytes.
 CLASSES, BEGIN, END = 32, 27, 28
-#: The documented bounds of the training sample, per class of documents, and the bytes of a training text.
-MOST_TEXTS, MOST_BYTES = 1500, 6000
+#: The documented bounds of the training sample: toxic and clean texts, and the bytes of a training text.
+MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 600, 2400, 4000
 LANDMARKS, ROUNDS, FOLDS, PENALTY, SEED = 160, 3, 4, 1e-5, 3
 #: Word scores stay within -FAR and FAR; a text without words has two at FAR.
-FAR, MISS = -3.0, 2.0
+FAR = -3.0
 _SLICE = 1 << 20
 
 
@@ -156,8 +156,8 @@ def nystroem(landmarks: list[bytes]) -> np.ndarray:
 def coordinates(words: list[bytes], into: np.ndarray) -> np.ndarray:
     """Nyström coordinates of single words, a block of them at a time."""
     out = np.zeros((len(words), into.shape[1]), np.float32)
-    for i in range(0, len(words), 2000):
-        who, feature, weight = word_features(words[i : i + 2000])
+    for i in range(0, len(words), 400):
+        who, feature, weight = word_features(words[i : i + 400])
         order = np.argsort(who, kind="stable")
         who, rows = who[order], into[feature[order]] * weight[order, None].astype(np.float32)
         if len(who):
@@ -183,9 +183,15 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarray | No
     before = loss(w, now)
     for _ in range(12):
         active = 1 - y * now > 0
-        xa = np.concatenate([x[active], np.ones((int(active.sum()), 1), np.float32)], axis=1) * np.sqrt(weight[active, None]).astype(np.float32)
-        target = y[active] * np.sqrt(weight[active])
-        step = np.linalg.solve((xa.T @ xa).astype(float) + np.diag(ridge), xa.T @ target) - w
+        gram, target = np.diag(ridge), np.zeros(d)
+        at = np.flatnonzero(active)
+        for i in range(0, len(at), 8192):
+            rows = at[i : i + 8192]
+            root = np.sqrt(weight[rows]).astype(np.float32)
+            xa = np.concatenate([x[rows] * root[:, None], root[:, None]], axis=1)
+            gram += xa.T @ xa
+            target += xa.T @ (y[rows] * root)
+        step = np.linalg.solve(gram, target) - w
         size = 1.0
         while True:
             tried = w + size * step
@@ -258,17 +264,18 @@ class _Sample:
     def __init__(self, texts: list[str], labels: list[int]):
         self.y = np.array(labels)
         number: dict[bytes, int] = {}
-        pairs, every = [], []
-        for t, text in enumerate(texts):
+        held = [np.zeros(0, np.int32)]
+        for text in texts:
             data = np.frombuffer(text.encode().lower(), np.uint8)
             w = split_words(data, np.array([0, len(data)]))
             raw = b" " + data.tobytes() + b" "
-            held = [raw[s:e] for s, e in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]
-            every += [(t, number.setdefault(word, len(number))) for word in held]
-            pairs += [(t, number[word]) for word in dict.fromkeys(held)]
+            own = (raw[s:e] for s, e in zip(w.starts.tolist(), w.ends.tolist(), strict=True))
+            held.append(np.fromiter((number.setdefault(word, len(number)) for word in own), np.int32))
         self.words = list(number)
-        self.text, self.word = np.array(pairs, np.int64).reshape(-1, 2).T
-        self.text_all, self.word_all = np.array(every, np.int64).reshape(-1, 2).T
+        self.word_all = np.concatenate(held)
+        self.text_all = np.repeat(np.arange(len(texts), dtype=np.int32), [len(h) for h in held[1:]])
+        pairs = np.unique(self.text_all.astype(np.int64) << 32 | self.word_all)
+        self.text, self.word = (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
 
 
 def train(texts: list[str], labels: list[int], ratio: float = 1.0) -> Model:
@@ -332,13 +339,13 @@ def train(texts: list[str], labels: list[int], ratio: float = 1.0) -> Model:
     for f in range(FOLDS):
         unseen[fold == f] = worst(solve(fold != f))[fold == f]
     final = solve(every)
-    weight = np.where(s.y == 1, MISS, ratio)  # a missed toxic text counts more than a false alarm
+    weight = np.where(s.y == 1, 1.0, ratio)
     calibration = _logistic(unseen, s.y.astype(float), weight / weight.mean())
     return Model((into @ final[:-1].astype(np.float32)).astype(np.float32), float(final[-1]), calibration)
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", parts: int = 5, held: int = 0) -> Model:
-    """Fit on at most MOST_TEXTS toxic and twice as many clean labelled texts of up to MOST_BYTES bytes.
+    """Fit on at most MOST_TOXIC toxic and MOST_CLEAN clean labelled texts of up to MOST_BYTES bytes.
 
     Labels are read only from rows whose crc32(id as text) mod ``parts`` is not ``held``; the sample is the
     first by a hash of the id. Its size bounds what is broadcast as ids and what the driver fits on.
@@ -346,7 +353,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     known = labels.where((remainder(id_col, parts) != held) & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     total = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in ((1, MOST_TEXTS), (0, 2 * MOST_TEXTS))]
+    picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
     ids = picked[0].unionByName(picked[1]).collect()
     if not ids:
         return train([], [])
