@@ -11,12 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormlift.llm.bpe import bpe_encode
-from stormlift.llm.common import fresh, settle, table
+from stormlift.llm.common import fresh, keep, settle, table
 from stormlift.llm.decontaminate import without_benchmark
 from stormlift.llm.lines import dedup_lines
 from stormlift.llm.simhash import near_duplicates
 from stormlift.llm.toxicity import without_toxic
-from stormlift.workspace import materialise
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,5 +62,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        docs = keep(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

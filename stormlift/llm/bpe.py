@@ -24,8 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stormlift.llm.bloom import Bloom
-from stormlift.llm.common import query, row_slices, table, text_buffer, text_of
-from stormlift.workspace import materialise
+from stormlift.llm.common import keep, query, row_slices, table, text_buffer, text_of
 
 #: Fixed values of the public vocabulary: its word pattern and its one special token.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -271,7 +270,7 @@ def bpe_encode(df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_
     counted = docs.select("text").mapInArrow(_hashes, "hash binary, copies long").groupBy("hash").agg(F.sum("copies").alias("copies"))
     shared = Bloom.of(counted.where(F.col("copies") > 1).select("hash"), "hash")
     schema = f"id {docs.schema['id'].dataType.simpleString()}, digest binary, pieces array<struct<hash: binary, bytes: binary>>, {_RESULT_DDL}"
-    routed = materialise(docs.mapInArrow(_route(path, shared, with_ids), schema), "bpe")
+    routed = keep(docs.mapInArrow(_route(path, shared, with_ids), schema), "bpe")
     waiting = routed.where(F.col("pieces").isNotNull()).select("id", "digest", "pieces")
     parts = waiting.select("id", "digest", F.posexplode("pieces").alias("pos", "piece")).where(F.col("piece.hash").isNotNull())
     once = parts.select("piece.*").groupBy("hash").agg(F.first("bytes").alias("bytes")).mapInArrow(_encode_chunks(path), "hash binary, chunk_ids binary")

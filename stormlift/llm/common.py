@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stormlift.workspace import new_path
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -89,5 +91,9 @@ def row_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 16 << 20):
         start = end
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder, compressed as texts deserve, and go on from the written table."""
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+

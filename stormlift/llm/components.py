@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stormlift.workspace import materialise
+from stormlift.llm.common import keep
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,9 +30,9 @@ def components(edges: DataFrame) -> DataFrame:
     more than its tasks. Loops, repeated links and both directions are fine; null ends are dropped.
     """
     edges = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges, before = materialise(edges, "links"), None
+    edges, before = keep(edges, "links"), None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before, edges = now, materialise(_small_star(_large_star(edges)), "links")
+        before, edges = now, keep(_small_star(_large_star(edges)), "links")

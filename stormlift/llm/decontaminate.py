@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stormlift.llm.bloom import Bloom
-from stormlift.llm.common import fresh, query, row_slices, table, text_buffer, text_of
+from stormlift.llm.common import fresh, keep, query, row_slices, table, text_buffer, text_of
 from stormlift.llm.words import runs, words
-from stormlift.workspace import materialise
 
 #: Words of a seed, words of the shortest tile, least share of an item that seeds and tiles must cover.
 SEED_WORDS, TILE_WORDS, SEED_COVERAGE, COVERAGE = 5, 3, 0.3, 0.8
@@ -141,10 +140,10 @@ def _found(docs: DataFrame, items: DataFrame, coverage: float, seed_coverage: fl
     """``docs`` (id, text) as scanned (id, digest), and (digest, item, coverage) of what is contaminated."""
     kind = items.schema["item"].dataType.simpleString()
     items = items.groupBy("text").agg(F.min("item").alias("item"))
-    texts = materialise(items.select(F.monotonically_increasing_id().alias("key"), "item", "text"), "items")
+    texts = keep(items.select(F.monotonically_increasing_id().alias("key"), "item", "text"), "items")
     seeds = texts.select(F.col("key").alias("item"), "text").mapInArrow(_item_seeds, "item long, words long, pos int, seed long")
     schema = f"id {docs.schema['id'].dataType.simpleString()}, digest binary, text string, seeds array<long>"
-    scanned = materialise(docs.mapInArrow(_suspects(Bloom.of(seeds, "seed")), schema), "suspects")
+    scanned = keep(docs.mapInArrow(_suspects(Bloom.of(seeds, "seed")), schema), "suspects")
     suspects = scanned.where(F.col("seeds").isNotNull()).select("digest", "text", "seeds").dropDuplicates(["digest"])
     met = suspects.select("digest", F.explode("seeds").alias("seed")).join(seeds, "seed")
     at = F.array_sort(F.collect_set("pos"))

@@ -10,9 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stormlift.llm.common import query, row_slices, table, text_buffer, text_of
+from stormlift.llm.common import keep, query, row_slices, table, text_buffer, text_of
 from stormlift.llm.words import runs, words
-from stormlift.workspace import materialise
 
 #: Fourier features, their seed, the kernel width in standard deviations, folds of the calibration, score bins.
 FEATURES, SEED, WIDTH, FOLDS, BINS = 256, 7, 3.0, 3, 2000
@@ -223,7 +222,7 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     Returns the id column, held_out, score, predicted.
     """
-    stats = materialise(document_statistics(df, id_col, text_col), "statistics")
+    stats = keep(document_statistics(df, id_col, text_col), "statistics")
     known = labels.where((remainder(id_col, parts) != held) & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
     model = fit(stats, known)
 

@@ -26,9 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stormlift.llm.common import LOWER, UPPER, query, table, text_of
+from stormlift.llm.common import LOWER, UPPER, keep, query, table, text_of
 from stormlift.llm.components import components
-from stormlift.workspace import materialise
 
 #: The generator polynomial of the [23, 12] Golay code, x^11+x^9+x^7+x^6+x^5+x+1.
 GENERATOR, LENGTH, CHECK_BITS = 0xAE3, 23, 11
@@ -213,7 +212,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         raise ValueError(f"the key families cover distances up to {MAX_BITS}")
     keyed = distinct.select("fp").mapInArrow(_emit_keys, "key long, fp long")
     large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    large = materialise(large, "large-keys")
+    large = keep(large, "large-keys")
     zero = F.lit(0)
     whole = keyed if large.isEmpty() else keyed.join(large, "key", "left_anti")
     groups = whole.select("key", zero.alias("i"), zero.alias("j"), zero.alias("side"), "fp")
@@ -244,7 +243,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Returns the id column, fingerprint (16 hex digits), component_id (smallest id reachable).
     """
-    prints = materialise(fingerprints(df, id_col, text_col, shingle), "fingerprints")
+    prints = keep(fingerprints(df, id_col, text_col, shingle), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
     roots = components(links(nodes, max_bits)).withColumnRenamed("node", "fp")
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
