@@ -64,11 +64,11 @@ class Words:
 
 
 def split_words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Longest runs without blanks, each text set between blanks; blanks between single characters do not split."""
+    """Longest runs without blanks, each text set between line ends; spaces between single characters do not split."""
     n = len(offsets) - 1
     size = np.diff(offsets)
     place = np.arange(len(data)) + np.repeat(np.arange(n) + 1, size)
-    raw = np.full(len(data) + n + 1, 32, np.uint8)
+    raw = np.full(len(data) + n + 1, 10, np.uint8)
     raw[place] = data
     blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
     if len(raw) > 4:
