@@ -17,6 +17,25 @@ def micros(date: str | Column) -> Column:
     return F.unix_micros(date)
 
 
+def utc_month(us: str) -> Column:
+    """The month in UTC of epoch microseconds, whatever the session's time zone."""
+    return F.month(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col(us) / (24 * HOUR)).cast("int")))
+
+
+def utc_hour(us: str) -> Column:
+    return F.floor(F.pmod(F.col(us), F.lit(24 * HOUR)) / HOUR)
+
+
+def utc_time(c: Column, kind: str) -> Column:
+    """A timestamp from text or a zone-less timestamp, read as UTC where no zone is written; null if unreadable."""
+    if kind not in ("string", "timestamp_ntz", "date"):
+        return c.try_cast("timestamp")
+    text = F.trim(c.cast("string"))
+    zoned = text.rlike(r"[0-9]:[0-9]{2}.*([zZ]|[+-][0-9]{1,2}(:?[0-9]{2})?| ?[A-Za-z].*)$")
+    whole = F.when(text.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.concat(text, F.lit(" 00:00:00"))).otherwise(text)
+    return F.when(zoned, text.try_cast("timestamp")).otherwise(F.concat(whole, F.lit("Z")).try_cast("timestamp"))
+
+
 def r6(c: Column | str) -> Column:
     """Six decimals, with -0.0 folded into 0.0."""
     return F.round(c, 6) + F.lit(0.0)

@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stormlift.functions.scalars import ALERT, flag, in_alert, is_cg, micros, number_or_zero
+from stormlift.functions.scalars import ALERT, flag, in_alert, is_cg, micros, number_or_zero, utc_hour, utc_month
 from stormlift.operators.ordered import dense_index
 from stormlift.operators.windows import (
     ALL_MINUTES,
     CG_MINUTES,
-    EMA_REACH,
     IC_MINUTES,
     MAX_GROUP_ROWS,
-    ROW,
+    NUMBER,
     cg_density,
     context_counts,
     ema,
+    ema_reach,
     last_rows,
     must_cut,
     place,
+    row_order,
     slope,
 )
+from stormlift.workspace import materialise
 
 ROLL = (3, 5, 10, 20)
 V4_ROLL = 15
@@ -41,7 +43,7 @@ V4_EXTRA = [
 ]
 V4 = [*V3, *V4_EXTRA]
 MODEL_COLUMNS = [*V3, "airport_enc"]
-# The lists the threshold-tuned models use: no long-window deviation, mean or trend that adds nothing.
+# The columns that the threshold-tuned models leave out.
 UNUSED_BY_TUNED = {"dt_std_20", "dt_ema_20", "amp_trend_20", "amplitude"}
 TUNED_V3 = [c for c in V3 if c not in UNUSED_BY_TUNED]
 TUNED_V4 = [*TUNED_V3, *V4_EXTRA]
@@ -90,7 +92,7 @@ def encode_airport(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 def _per_alert(cg: DataFrame, blocks: list[str], v4: bool, rolls: tuple[int, ...]) -> DataFrame:
     """Lag, row-frame and exponential columns; all windows share one partitioning and order."""
-    w = Window.partitionBy(*ALERT, *blocks).orderBy(*ROW)
+    w = Window.partitionBy(*ALERT, *blocks).orderBy(*row_order(cg))
     df = _timed(cg)
     # the exponential means first: each of their rounds copies the row, which is still narrow here
     df = ema(df, "dt_prev_s", rolls, w, F.col("rank_cg") == 0, "dt_ema")
@@ -129,8 +131,8 @@ def _ratios(df: DataFrame) -> DataFrame:
             "ic_trend": F.col("n_ic_5min") - F.col("n_ic_10min") / 2,
             "total_activity": F.col("n_all_5min"),
             "activity_decline": per("n_all_5min", "n_all_10min"),
-            "month": F.month("date").cast("bigint"),
-            "hour": F.hour("date").cast("bigint"),
+            "month": utc_month("us").cast("bigint"),
+            "hour": utc_hour("us"),
         }
     )
 
@@ -151,9 +153,18 @@ def _v4_ratios(df: DataFrame) -> DataFrame:
 
 
 def _slim(strikes: DataFrame, split: str, split_rows: int) -> tuple[DataFrame, bool, bool]:
-    """The columns features need, and whether alerts and site-hours must be cut."""
+    """The columns features need, and whether alerts and site-hours must be cut.
+
+    Cut forms join a strike's counts back to it. Strike ids may be absent or repeat, so the strikes
+    are then numbered in a written table, where the numbers cannot change.
+    """
     slim = strikes.select(*[c for c in [*KEYS, "icloud", *RAW] if c in strikes.columns]).withColumn("us", micros("date"))
-    return slim, *must_cut(slim, split, split_rows)
+    if "lightning_id" not in slim.columns:
+        slim = slim.withColumn("lightning_id", F.lit(None).cast("bigint"))
+    cut = must_cut(slim, split, split_rows)
+    if any(cut):
+        slim = materialise(slim.withColumn(NUMBER, F.monotonically_increasing_id()), "numbered")
+    return slim, *cut
 
 
 def position_features(strikes: DataFrame, split: str = "auto", split_rows: int = MAX_GROUP_ROWS) -> DataFrame:
@@ -186,11 +197,11 @@ def _features(
     else:
         cg = slim.filter(wanted).withColumns({c: F.lit(0).cast("bigint") for c in CONTEXT})
     cg = cg.drop("icloud")
-    placed, blocks = place(cg, big_alert, split_rows, EMA_REACH + 8)
+    placed, blocks = place(cg, big_alert, split_rows, max(ema_reach(rolls), *rolls) + 8)
     placed = placed.withColumnRenamed("rank", "rank_cg").drop("total")
     if big_alert:  # counts first: they need each strike once
-        counts = cg_density(placed.filter(~F.col("_halo")), True).select("lightning_id", *DENSITY[:-1])
-        df = _per_alert(placed, blocks, v4, rolls).filter(~F.col("_halo")).join(counts, "lightning_id")
+        counts = cg_density(placed.filter(~F.col("_halo")), True).select(NUMBER, *DENSITY[:-1])
+        df = _per_alert(placed, blocks, v4, rolls).filter(~F.col("_halo")).join(counts, NUMBER)
     else:
         df = _per_alert(cg_density(placed, False), blocks, v4, rolls)
     df = _ratios(df)

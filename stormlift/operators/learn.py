@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -18,7 +19,7 @@ from stormlift.functions.scalars import ALERT
 from stormlift.operators.features import model_matrix, with_missing_as_zero
 from stormlift.operators.neighbours import nearest
 from stormlift.operators.ordered import dense_index
-from stormlift.workspace import materialise
+from stormlift.workspace import materialise, new_path
 
 FOLDS = 5
 SEED = 42
@@ -64,9 +65,9 @@ def with_weights(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def gbt(trees: int, step: float, depth: int, rows: float = 0.8, cols: str = "0.8", leaf: int = 1) -> Callable:
-    def make(size: int | None = None, max_depth: int | None = None) -> Estimator:
+    def make(size: int | None = None, max_depth: int | None = None, step_size: float | None = None) -> Estimator:
         return GBTClassifier(
-            labelCol="y", weightCol="w", maxIter=size or trees, stepSize=step if size is None else 0.1,
+            labelCol="y", weightCol="w", maxIter=size or trees, stepSize=step_size or step,
             maxDepth=max_depth or depth, subsamplingRate=rows, featureSubsetStrategy=cols, minInstancesPerNode=leaf,
             seed=SEED,
         )
@@ -75,7 +76,7 @@ def gbt(trees: int, step: float, depth: int, rows: float = 0.8, cols: str = "0.8
 
 
 def forest(trees: int, depth: int, leaf: int) -> Callable:
-    def make(size: int | None = None, max_depth: int | None = None) -> Estimator:
+    def make(size: int | None = None, max_depth: int | None = None, step_size: float | None = None) -> Estimator:
         return RandomForestClassifier(
             labelCol="y", weightCol="w", numTrees=size or trees, maxDepth=max_depth or depth, minInstancesPerNode=leaf,
             seed=SEED,
@@ -85,8 +86,8 @@ def forest(trees: int, depth: int, leaf: int) -> Callable:
 
 
 def logistic(iterations: int = 1000) -> Callable:
-    def make(size: int | None = None, max_depth: int | None = None) -> Estimator:
-        return LogisticRegression(labelCol="y", weightCol="w", maxIter=size or iterations, regParam=1e-4)
+    def make(size: int | None = None, max_depth: int | None = None, step_size: float | None = None) -> Estimator:
+        return LogisticRegression(labelCol="y", weightCol="w", maxIter=size or iterations)
 
     return make
 
@@ -110,20 +111,30 @@ CONFIGS: dict[str, tuple[Callable, str, str | None]] = {
 
 
 def fit(train: DataFrame, features: list[str], config: str, size: int | None = None, max_depth: int | None = None,
-        stop_fold: int | None = None) -> PipelineModel:
+        stop_fold: int | None = None, step: float | None = None) -> PipelineModel:
     """Fit one configuration on a labelled model matrix.
 
-    ``size`` replaces the number of trees or iterations. ``stop_fold`` names a fold of the
-    training rows held back to stop boosting early, never the fold that is scored.
+    ``size`` replaces the number of trees or iterations and nothing else, ``step`` the step size of
+    boosting. ``stop_fold`` names a fold of the training rows held back to stop boosting early, never
+    the fold that is scored; it is never resampled. The penalty of the logistic regression is one
+    over the weight of all rows, so that it counts as much as one row's loss.
     """
     make, weighting, resample = CONFIGS[config]
+    estimator = make(size, max_depth, step)
+    stops = stop_fold is not None and isinstance(estimator, GBTClassifier)
+    held = train.filter(F.col("fold") == stop_fold) if stops else None
+    if stops:
+        train = train.filter(F.col("fold") != stop_fold)
     if resample:
         train = RESAMPLERS[resample](train, features)
-    train = with_weights(train, weighting)
-    estimator = make(size, max_depth)
-    if stop_fold is not None and isinstance(estimator, GBTClassifier):
-        train = train.withColumn("_stop", F.col("fold") == stop_fold)
+    if stops:
+        held = held.select(*train.columns).withColumn("_stop", F.lit(True))
+        train = train.withColumn("_stop", F.lit(False)).unionByName(held)
         estimator = estimator.setValidationIndicatorCol("_stop")
+    train = with_weights(train, weighting)
+    if isinstance(estimator, LogisticRegression):
+        weight = train.agg(F.sum("w")).first()[0] or 1.0
+        estimator = estimator.setRegParam(1 / weight)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), estimator]).fit(train)
 
 
@@ -147,18 +158,34 @@ def oof(rows: DataFrame, features: list[str], config: str, k: int = FOLDS, **kw)
     return out
 
 
-def train_per_airport(rows: DataFrame, features: list[str], config: str = "gbt_airport", max_models: int = 50, **kw) -> dict:
-    """One model per airport, largest airports first; airports beyond ``max_models`` or with a
-    single class get none, and are scored by the global model (``score_with_fallback``)."""
+def by_airport(rows: DataFrame) -> DataFrame:
+    """``rows`` written with one folder for each airport, so that a filter on the airport reads only that."""
+    path = new_path(rows.sparkSession, "by-airport")
+    rows.repartition("airport").write.partitionBy("airport").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path).select(*rows.columns)
+
+
+def train_per_airport(
+    rows: DataFrame, features: list[str], config: str = "gbt_airport", max_models: int | None = None, parallel: int = 4, **kw
+) -> dict:
+    """One model for every airport that has both classes; the others are scored by the global model
+    (``score_with_fallback``). ``max_models`` keeps the largest airports only, if given. ``rows`` is
+    written by airport first, and ``parallel`` fits run at a time."""
     sizes = rows.groupBy("airport").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
     fits = sizes.filter((F.col("pos") > 0) & (F.col("pos") < F.col("n"))).orderBy(F.desc("n"), "airport")
-    chosen = [r["airport"] for r in fits.limit(max_models).collect()]
-    return {a: fit(rows.filter(F.col("airport") == a), features, config, **kw) for a in chosen}
+    chosen = [r["airport"] for r in (fits if max_models is None else fits.limit(max_models)).collect()]
+    if not chosen:
+        return {}
+    apart = by_airport(rows)
+    with ThreadPoolExecutor(parallel) as pool:
+        return dict(zip(chosen, pool.map(lambda a: fit(apart.filter(F.col("airport") == a), features, config, **kw), chosen)))
 
 
 def score_with_fallback(rows: DataFrame, features: list[str], own: dict[str, Model], whole: Model | None) -> DataFrame:
     """Each airport by its own model, others by the global one, 0 without either."""
     rows = with_missing_as_zero(rows, features)
+    if own:
+        rows = by_airport(rows)
     parts = [score(rows.filter(F.col("airport") == a), m) for a, m in own.items()]
     rest = rows.filter(~F.col("airport").isin(list(own))) if own else rows
     parts.append(score(rest, whole) if whole is not None else rest.withColumn("score", F.lit(0.0)))
@@ -200,13 +227,15 @@ def platt(rows: DataFrame, name: str = "score") -> Model:
     return LogisticRegression(labelCol="y").fit(ready)
 
 
-def isotonic(rows: DataFrame, name: str = "score") -> Model:
+def isotonic(rows: DataFrame, name: str = "score", step: float | None = None) -> Model:
     """Monotone calibration of a score in [0, 1].
 
-    Spark pools the fitted points on the driver, so scores are first averaged in steps of 1e-4:
-    at most 10,001 weighted points, whatever the number of rows.
+    Equal scores are averaged into one weighted point; Spark pools the points in range partitions and
+    the pools on the driver. For very many distinct scores ``step`` merges scores of one step into
+    their mean, which moves no calibrated value by more than that of scores ``step`` apart.
     """
-    tally = rows.groupBy(F.round(F.col(name), 4).alias("_step")).agg(
+    group = F.col(name) if step is None else F.floor(F.col(name) / step)
+    tally = rows.groupBy(group.alias("_step")).agg(
         F.avg(name).alias("features"), F.avg("y").alias("y"), F.count("*").cast("double").alias("w")
     )
     return IsotonicRegression(labelCol="y", weightCol="w").fit(tally)

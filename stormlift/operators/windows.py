@@ -7,6 +7,8 @@ that slides at both ends for every row; the difference keeps a dense storm linea
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -19,13 +21,23 @@ ALL_MINUTES = (2, 5, 10)
 HALO = 30 * MINUTE
 
 ROW = ["us", "lightning_id"]  # total order of strikes inside a group
-EMA_REACH = 512  # strikes after which every exponential weight used is below 1e-17
+NUMBER = "_no"  # a strike's number in a written table, where cut forms must join back on it
 EMA_FAN = 8
+EMA_LEAST = 1e-17  # exponential weights below this are dropped
 
 # The largest group one task is asked to hold; a larger one is cut into blocks.
 MAX_GROUP_ROWS = 2_000_000
 
 
+def strike_key(df: DataFrame) -> str:
+    """What names a strike: its number where the table has one, else ``lightning_id``, which must then be unique."""
+    return NUMBER if NUMBER in df.columns else "lightning_id"
+
+
+def row_order(df: DataFrame) -> list[str]:
+    return [*ROW, NUMBER] if NUMBER in df.columns else ROW
+
+
 def up_to(w: WindowSpec, back_us: int = 0) -> WindowSpec:
     """All rows of the partition at least ``back_us`` older than the current one, peers included."""
     return w.rangeBetween(Window.unboundedPreceding, -back_us)
@@ -62,7 +74,8 @@ def context_counts(strikes: DataFrame, wanted: Column, dense: bool = False) -> D
     """
     names = {f"n_ic_{m}min": ("ic", m) for m in IC_MINUTES} | {f"n_all_{m}min": ("all", m) for m in ALL_MINUTES}
     if dense:
-        events = strikes.withColumn("id", F.col("lightning_id"))
+        own = strike_key(strikes)
+        events = strikes.withColumn("id", F.col(own))
         counted = probe_counts(
             events,
             events.filter(wanted),
@@ -71,9 +84,9 @@ def context_counts(strikes: DataFrame, wanted: Column, dense: bool = False) -> D
             {f"{m}": m * MINUTE for m in IC_MINUTES},
         )
         counted = counted.select(
-            "airport", F.col("id").alias("lightning_id"), *[F.col(f"{s}_{m}").alias(n) for n, (s, m) in names.items()]
+            "airport", F.col("id").alias(own), *[F.col(f"{s}_{m}").alias(n) for n, (s, m) in names.items()]
         )
-        return strikes.filter(wanted).join(counted, ["airport", "lightning_id"])
+        return strikes.filter(wanted).join(counted, ["airport", own])
 
     late = F.pmod(F.col("us"), F.lit(HOUR)) >= HOUR - HALO
     copies = F.when(late, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
@@ -118,7 +131,7 @@ def place(df: DataFrame, cut: bool, block_rows: int, reach: int) -> tuple[DataFr
     of which are repeated (``_halo`` true) at the head of the next run, for frames that look back.
     """
     if not cut:
-        w = Window.partitionBy(*ALERT).orderBy(*ROW)
+        w = Window.partitionBy(*ALERT).orderBy(*row_order(df))
         cols = {
             "rank": (F.row_number().over(w) - 1).cast("bigint"),
             "start_us": F.min("us").over(w),
@@ -130,13 +143,13 @@ def place(df: DataFrame, cut: bool, block_rows: int, reach: int) -> tuple[DataFr
         return df.withColumns(cols), []
     if block_rows < reach:
         raise ValueError(f"a block must hold at least {reach} strikes")
-    seen = running(df, ALERT, ROW, {"_seen": F.lit(1)}, {"start_us": "us"})
+    seen = running(df, ALERT, row_order(df), {"_seen": F.lit(1)}, {"start_us": "us"})
     seen = seen.withColumns({"rank": F.col("_seen") - 1, "total": F.col("_seen_total")}).drop("_seen", "_seen_total")
     tail = F.pmod(F.col("rank"), F.lit(block_rows)) >= block_rows - reach
     copies = F.when(tail, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     spread = seen.select("*", F.explode(copies).alias("_copy"))
     spread = spread.withColumn("_block", F.floor(F.col("rank") / block_rows) + F.col("_copy"))
-    w = Window.partitionBy(*ALERT, "_block").orderBy(*ROW)
+    w = Window.partitionBy(*ALERT, "_block").orderBy(*row_order(df))
     near = {
         "prev_us": F.lag("us").over(w),
         "x": (F.col("rank") - F.col("_block") * block_rows).cast("double"),
@@ -155,12 +168,13 @@ def cg_density(cg: DataFrame, cut: bool) -> DataFrame:
         w = Window.partitionBy(*ALERT).orderBy("us")
         older = {m: F.count(F.lit(1)).over(up_to(w, m * MINUTE + 1)) for m in CG_MINUTES}
         return cg.withColumns({f"n_cg_{m}min": F.col("rank_cg") + 1 - older[m] for m in CG_MINUTES})
-    events = cg.select(*ALERT, "us", F.col("lightning_id").alias("id"))
+    own = strike_key(cg)
+    events = cg.select(*ALERT, "us", F.col(own).alias("id"))
     inside = probe_counts(events, events, ALERT, {"n": F.lit(1)}, {f"{m}": m * MINUTE for m in CG_MINUTES})
     # the window count includes peers after the row
     peer = events.groupBy(*ALERT, "us").agg(F.count(F.lit(1)).alias("_n"))
     upto = running(peer, ALERT, ["us"], {"_upto": F.col("_n")}).select(*ALERT, "us", "_upto")
-    counted = cg.join(inside.withColumnRenamed("id", "lightning_id"), [*ALERT, "lightning_id"]).join(upto, [*ALERT, "us"])
+    counted = cg.join(inside.withColumnRenamed("id", own), [*ALERT, own]).join(upto, [*ALERT, "us"])
     after = F.col("_upto") - 1 - F.col("rank_cg")
     return counted.withColumns({f"n_cg_{m}min": F.col(f"n_{m}") - after for m in CG_MINUTES}).drop(
         "_upto", *[f"n_{m}" for m in CG_MINUTES]
@@ -181,23 +195,27 @@ def slope(value: Column, w: WindowSpec, n: int) -> Column:
     return F.when(k > 1, F.covar_pop(value, F.col("x")).over(last_rows(w, n)) * 12 / (k * k - 1))
 
 
+def ema_reach(spans: tuple[int, ...]) -> int:
+    """Rows after which every exponential weight of these spans is below ``EMA_LEAST``."""
+    return max(math.ceil(math.log(EMA_LEAST) / math.log(1 - 2 / (n + 1))) if n > 1 else 1 for n in spans)
+
+
 def ema(df: DataFrame, value: str, spans: tuple[int, ...], w: WindowSpec, first: Column, name: str) -> DataFrame:
     """Exponential means y = (1-a) y' + a x with a = 2 / (span + 1), started at the first value.
 
     Weighted sums over the last m rows, each shrunk by (1-a)^m for every m rows further back,
-    add up to the sum over the last 8 m rows; three rounds reach 512 rows with constant lags.
-    Weights below 1e-17 are dropped.
+    add up to the sum over the last 8 m rows; rounds go on until they pass ``ema_reach``.
     """
     keep = {n: 1 - 2 / (n + 1) for n in spans}
     out = df.withColumns(
         {f"{name}_{n}": F.when(first, F.col(value)).otherwise(F.col(value) * (1 - keep[n])) for n in spans}
     )
     m = 1
-    while m < EMA_REACH:
+    while m < ema_reach(spans):
         grown = {}
         for n in spans:
             y = f"{name}_{n}"
-            shrinks = {i * m: keep[n] ** (i * m) for i in range(1, EMA_FAN) if keep[n] ** (i * m) > 1e-17}
+            shrinks = {i * m: keep[n] ** (i * m) for i in range(1, EMA_FAN) if keep[n] ** (i * m) > EMA_LEAST}
             if shrinks:
                 grown[y] = sum((k * F.lag(y, back, 0.0).over(w) for back, k in shrinks.items()), F.col(y))
         out = out.withColumns(grown)

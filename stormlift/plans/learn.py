@@ -12,7 +12,7 @@ from stormlift.operators.neighbours import nearest
 from stormlift.plans.base import query, s6, shown, sql
 from stormlift.workspace import materialise
 
-SIZE, DEPTH = 5, 3
+SIZE, DEPTH, STEP = 5, 3, 0.1
 PLAIN = ["dt_prev_s", "dist", "amplitude", "maxis", "azimuth"]
 IDS = ["lightning_id", "airport", "airport_alert_id", "y", "fold"]
 
@@ -62,7 +62,7 @@ def class_weights(t):
 @query("train_gbt")
 def train_gbt(t):
     rows = training(t)
-    return shown_scores(L.score(rows, L.fit(rows, MODEL_COLUMNS, "gbt_balanced", SIZE, DEPTH)))
+    return shown_scores(L.score(rows, L.fit(rows, MODEL_COLUMNS, "gbt_balanced", SIZE, DEPTH, step=STEP)))
 
 
 @query("train_rf")
@@ -79,7 +79,7 @@ def train_lr(t):
 
 @query("oof_scores")
 def oof_scores(t):
-    return shown_scores(L.oof(training(t), MODEL_COLUMNS, "gbt_balanced", size=SIZE, max_depth=DEPTH))
+    return shown_scores(L.oof(training(t), MODEL_COLUMNS, "gbt_balanced", size=SIZE, max_depth=DEPTH, step=STEP))
 
 
 @query("oof_metrics")
@@ -87,7 +87,7 @@ def oof_metrics(t):
     """Metrics of out-of-fold scores of three kinds of model, best F1 first."""
     rows = training(t)
     parts = [
-        L.oof(rows, MODEL_COLUMNS, c, size=n, max_depth=2).select("y", F.lit(c).alias("name"), "score")
+        L.oof(rows, MODEL_COLUMNS, c, size=n, max_depth=2, step=STEP).select("y", F.lit(c).alias("name"), "score")
         for c, n in (("gbt_v4", 3), ("forest_balanced", 5), ("logistic_balanced", 10))
     ]
     tall = materialise(parts[0].unionByName(parts[1]).unionByName(parts[2]), "oof")
@@ -98,15 +98,15 @@ def oof_metrics(t):
 def train_early_stop(t):
     """Boosting stopped by a held-back training fold; fold 0 is scored."""
     rows = training(t)
-    model = L.fit(rows.filter("fold != 0"), MODEL_COLUMNS, "gbt_v4", SIZE, DEPTH, stop_fold=1)
+    model = L.fit(rows.filter("fold != 0"), MODEL_COLUMNS, "gbt_v4", SIZE, DEPTH, stop_fold=1, step=STEP)
     return shown_scores(L.score(rows.filter("fold = 0"), model))
 
 
 @query("train_per_airport")
 def train_per_airport(t):
     rows = training(t)
-    own = L.train_per_airport(rows, MODEL_COLUMNS, size=2, max_depth=2, max_models=8)
-    whole = L.fit(rows, MODEL_COLUMNS, "gbt_balanced", 2, 2)
+    own = L.train_per_airport(rows, MODEL_COLUMNS, size=2, max_depth=2, step=STEP)
+    whole = L.fit(rows, MODEL_COLUMNS, "gbt_balanced", 2, 2, step=STEP)
     return shown_scores(L.score_with_fallback(rows, MODEL_COLUMNS, own, whole))
 
 
@@ -142,7 +142,7 @@ def feature_importance(t):
 def top_features(t):
     """The twenty model columns of largest importance."""
     rows = training(t)
-    table = L.feature_importance(L.fit(rows, MODEL_COLUMNS, "gbt_balanced", SIZE, DEPTH))
+    table = L.feature_importance(L.fit(rows, MODEL_COLUMNS, "gbt_balanced", SIZE, DEPTH, step=STEP))
     return shown(table.orderBy(F.desc("importance"), "feature").limit(20))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stormlift.functions.scalars import flag, flag_or_false
+from stormlift.functions.scalars import flag, flag_or_false, utc_time
 
 STRIKES = T.StructType(
     [
@@ -56,7 +56,7 @@ def normalize(raw: DataFrame) -> DataFrame:
     """Cast any strike-shaped input (text or typed) to ``STRIKES``.
 
     Alert ids written as floats ("12.0") become integers; an unreadable flag counts as CG,
-    an unreadable label as no label. Rows without a readable date or airport are not strikes.
+    an unreadable label as no label. Times without a zone are UTC. Rows without a readable date or airport are not strikes.
     """
     check_contract(raw.columns)
     cols = []
@@ -73,6 +73,8 @@ def normalize(raw: DataFrame) -> DataFrame:
             value = F.coalesce(as_text.try_cast("bigint"), as_text.try_cast("double").try_cast("bigint"))
         elif isinstance(field.dataType, T.StringType):
             value = F.col(name)
+        elif isinstance(field.dataType, T.TimestampType):
+            value = utc_time(F.col(name), dict(raw.dtypes)[name])
         else:
             value = F.col(name).try_cast(field.dataType)
         cols.append(value.cast(field.dataType).alias(name))

@@ -53,6 +53,24 @@ def test_early_stop_uses_the_named_fold(rows):
     assert 1 <= model.stages[-1].getNumTrees <= 5
 
 
+def test_size_leaves_the_step_alone():
+    for name, (make, _, _) in L.CONFIGS.items():
+        whole, small = make(), make(7)
+        if name.startswith(("gbt", "boost")):
+            assert small.getStepSize() == whole.getStepSize() and small.getMaxIter() == 7
+            assert make(7, step_size=0.3).getStepSize() == 0.3
+
+
+def test_early_stop_with_resampling_keeps_the_fold_real(rows):
+    model = L.fit(rows.filter("fold != 0"), X, "gbt_smote", 3, 2, stop_fold=1)
+    assert 1 <= model.stages[-1].getNumTrees <= 3
+
+
+def test_logistic_penalty_follows_the_rows(rows):
+    one = L.fit(rows, X, "logistic_balanced", 5).stages[-1]
+    assert one.getRegParam() == pytest.approx(1 / 600)
+
+
 def test_importance_ranks_the_signal(rows):
     table = L.feature_importance(L.fit(rows, X, "forest_balanced", 5, 3)).orderBy(F.desc("importance")).collect()
     assert table[0].feature == "x0" and sum(r.importance for r in table) == pytest.approx(1)
@@ -61,6 +79,7 @@ def test_importance_ranks_the_signal(rows):
 def test_fallback_order(spark, rows):
     own = L.train_per_airport(rows, X, "logistic_balanced", max_models=1, size=5)
     assert list(own) == ["A"]
+    assert sorted(L.train_per_airport(rows, X, "logistic_balanced", size=3)) == ["A", "B", "C"]
     whole = L.fit(rows, X, "logistic_balanced", 5)
     got = L.score_with_fallback(rows, X, own, whole)
     assert got.count() == rows.count()
