@@ -157,11 +157,11 @@ def labelled_rows(t):
     sql(
         "strikes",
         f"""SELECT {STRIKE_COLS} FROM (SELECT *, count(*) OVER (PARTITION BY airport, airport_alert_id) AS n FROM strikes
-            WHERE airport_alert_id IS NOT NULL) WHERE n > 10 AND n < 100""",
+            WHERE airport_alert_id IS NOT NULL) WHERE n > 20 AND n < 100""",
     ),
 )
 def alerts_mid_size(t):
-    return keyed(X.mid_size_alerts(t.strikes(), 10, 100))
+    return keyed(X.mid_size_alerts(t.strikes(), 20, 100))
 
 
 @query(
@@ -169,11 +169,11 @@ def alerts_mid_size(t):
     sql(
         "strikes",
         """SELECT airport, min(airport_alert_id) AS airport_alert_id FROM (SELECT airport, airport_alert_id, count(*) AS n
-           FROM strikes WHERE airport_alert_id IS NOT NULL GROUP BY 1, 2) WHERE n > 10 AND n < 100 GROUP BY 1""",
+           FROM strikes WHERE airport_alert_id IS NOT NULL GROUP BY 1, 2) WHERE n > 20 AND n < 100 GROUP BY 1""",
     ),
 )
 def first_mid_alert(t):
-    return X.first_alerts(X.mid_size_alerts(t.strikes(), 10, 100))
+    return X.first_alerts(X.mid_size_alerts(t.strikes(), 20, 100))
 
 
 @query(

@@ -157,17 +157,19 @@ def metrics_by_airport(t):
     "airport_metrics_json",
     sql(
         "scored",
-        """SELECT airport, '{"n":' || (p + n) || ',"n_pos":' || p || ',"best_tp":' || tp || '}' AS json FROM (
-             SELECT *, row_number() OVER (PARTITION BY airport ORDER BY f1 DESC, score) AS rn FROM f1) WHERE rn = 1""",
+        f"""SELECT airport, '{{' || CASE WHEN auc_roc IS NULL THEN '' ELSE '"auc":' || CAST(auc_roc AS DECIMAL(9,6)) || ',' END
+              || '"f1":' || CAST(f1 AS DECIMAL(9,6)) || ',"precision":' || CAST("precision" AS DECIMAL(9,6))
+              || ',"recall":' || CAST(recall AS DECIMAL(9,6)) || ',"threshold":' || CAST(best_threshold AS DECIMAL(9,6))
+              || ',"n":' || n || ',"n_pos":' || n_pos || '}}' AS json FROM ({all_metrics("airport")})""",
         *table_cte(by="airport"),
     ),
 )
 def airport_metrics_json(t):
-    """Per-airport facts as JSON text, the form the JSON sink writes."""
-    c = M.curves(M.score_table(scored(t), ["airport"]))
-    top = F.max_by(F.struct((F.col("P") + F.col("N")).alias("n"), F.col("P").alias("n_pos"), F.col("tp").alias("best_tp")),
-                   F.struct("f1", -F.col("score")))
-    return c.groupBy("airport").agg(F.to_json(top).alias("json"))
+    """Per-airport metrics as JSON text, the form the JSON sink writes."""
+    m = shown(M.binary_metrics(scored(t), ["airport"]))
+    six = [F.col(c).cast("decimal(9,6)").alias(n) for c, n in
+           (("auc_roc", "auc"), ("f1", "f1"), ("precision", "precision"), ("recall", "recall"), ("best_threshold", "threshold"))]
+    return m.select("airport", F.to_json(F.struct(*six, "n", "n_pos")).alias("json"))
 
 
 TALL = "tall AS (" + " UNION ALL ".join(f"SELECT '{s}' AS name, y, {s} AS s FROM scored" for s in (*SCORES, "ensemble")) + ")"
