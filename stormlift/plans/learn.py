@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stormlift.functions.scalars import in_alert
+from stormlift.operators import evaluate as E
 from stormlift.operators import learn as L
 from stormlift.operators import metrics as M
+from stormlift.operators.decide import prediction_rows
 from stormlift.operators.features import MODEL_COLUMNS, encode_airport, model_matrix
 from stormlift.operators.neighbours import nearest
 from stormlift.plans.base import query, s6, shown, sql
@@ -15,6 +18,8 @@ from stormlift.workspace import materialise
 SIZE, DEPTH, STEP = 5, 3, 0.1
 PLAIN = ["dt_prev_s", "dist", "amplitude", "maxis", "azimuth"]
 IDS = ["lightning_id", "airport", "airport_alert_id", "y", "fold"]
+CUT_US = 1_704_067_200_000_000 + 21_600_000_000
+
 
 def training(t):
     """The labelled model matrix with folds, written once per session and input."""
@@ -169,6 +174,63 @@ def calibrate_platt(t):
     return shown(rows.select("lightning_id", "score", (1 / (1 + F.exp(-odds))).alias("calibrated")))
 
 
+def later_strikes(t):
+    return t.strikes().filter(F.unix_micros("date") > CUT_US)
+
+
+def later_scores(t):
+    """CG strikes after the cut, scored by a model fitted on what came before it; written once."""
+
+    def write():
+        rows, early = training(t), F.unix_micros("date") <= CUT_US
+        model = L.fit(rows.filter(early), MODEL_COLUMNS, "logistic_balanced")
+        return materialise(L.score(rows.filter(~early), model, "confidence"), "later")
+
+    return t.once("later", write)
+
+
+@query("end_to_end_curve")
+def end_to_end_curve(t):
+    """Train before a date, score after it, and weigh the decisions of every threshold."""
+    return shown(E.gain_risk_curve(later_strikes(t), prediction_rows(later_scores(t))))
+
+
+@query(
+    "end_to_end_checks",
+    sql(
+        "cg",
+        f"""SELECT (SELECT count(*) FROM cg WHERE us > {CUT_US}) AS n_scored, CAST(0 AS BIGINT) AS out_of_range, CAST(20 AS BIGINT) AS thetas,
+             CAST(0 AS BIGINT) AS gain_rises, CAST(0 AS BIGINT) AS misses_rise, CAST(0 AS BIGINT) AS covered_rises,
+             (SELECT count(*) FROM strikes WHERE us > {CUT_US} AND dist < 3) AS danger,
+             (SELECT count(*) FROM (SELECT DISTINCT airport, airport_alert_id FROM strikes
+              WHERE us > {CUT_US} AND airport_alert_id IS NOT NULL)) AS alerts_total""",
+    ),
+)
+def end_to_end_checks(t):
+    """What must hold for any model: one score a strike, and nothing grows with the threshold."""
+    scored = later_scores(t)
+    curve = E.gain_risk_curve(later_strikes(t), prediction_rows(scored))
+    order = Window.orderBy("theta")  # twenty rows
+    rises = {c: F.col(c) > F.lag(c).over(order) + 1e-9 for c in ("gain_h", "missed", "alerts_covered")}
+    steps = curve.withColumns({f"{c}_rises": r for c, r in rises.items()})
+    held = steps.agg(
+        F.count("*").alias("thetas"),
+        F.count_if("gain_h_rises").alias("gain_rises"),
+        F.count_if("missed_rises").alias("misses_rise"),
+        F.count_if("alerts_covered_rises").alias("covered_rises"),
+        F.max("danger").alias("danger"),
+        F.max("alerts_total").alias("alerts_total"),
+    )
+    seen = scored.agg(F.count("*").alias("n_scored"), F.count_if(~F.col("confidence").between(0, 1)).alias("out_of_range"))
+    return shown(seen.join(held))
+
+
+@query("end_to_end_best", None)
+def end_to_end_best(t):
+    """The threshold to run with, from the scores of strikes the model has not seen."""
+    return shown(E.best_theta(E.gain_risk_curve(later_strikes(t), prediction_rows(later_scores(t)))))
+
+
 def plain_rows(t):
     rows = t.features(context=False)
     label = F.col("is_last_lightning_cloud_ground").cast("int").alias("y")
