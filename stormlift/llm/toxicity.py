@@ -33,8 +33,8 @@ GAPS = tuple((a, b, DECAY ** (b - 2)) for b in range(2, SPAN) for a in range(1,
 #: 32 character classes: 0 is skipped, 1 to 26 letters, 27 and 28 word begin and end, 29 to 31 other bytes.
 CLASSES, BEGIN, END = 32, 27, 28
 #: The documented bounds of the training sample: toxic and clean texts, and the bytes of a training text.
-MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 600, 2400, 4000
-LANDMARKS, ROUNDS, FOLDS, PENALTY, SEED = 160, 3, 4, 1e-5, 3
+MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 600, 1800, 4000
+LANDMARKS, ROUNDS, FOLDS, PENALTY, SEED = 96, 3, 4, 1e-5, 3
 #: Word scores stay within -FAR and FAR; a text without words has two at FAR.
 FAR = -3.0
 _SLICE = 1 << 20
@@ -156,8 +156,8 @@ def nystroem(landmarks: list[bytes]) -> np.ndarray:
 def coordinates(words: list[bytes], into: np.ndarray) -> np.ndarray:
     """Nyström coordinates of single words, a block of them at a time."""
     out = np.zeros((len(words), into.shape[1]), np.float32)
-    for i in range(0, len(words), 400):
-        who, feature, weight = word_features(words[i : i + 400])
+    for i in range(0, len(words), 200):
+        who, feature, weight = word_features(words[i : i + 200])
         order = np.argsort(who, kind="stable")
         who, rows = who[order], into[feature[order]] * weight[order, None].astype(np.float32)
         if len(who):
