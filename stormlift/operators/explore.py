@@ -82,13 +82,11 @@ def alert_overview(strikes: DataFrame) -> DataFrame:
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, sd, min, quartiles, max per column; quartiles are exact and interpolated."""
     tall = _long(df, columns)
-    basics = tall.groupBy("column").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
+    facts = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    # one row of plain aggregates, turned; only the quartiles need the values in order
+    one = df.agg(*[f(F.col(c).cast("double")).alias(f"{c}|{n}") for c in columns for n, f in facts.items()])
+    cells = [F.struct(F.lit(c).alias("column"), *[F.col(f"{c}|{n}").alias(n) for n in facts]) for c in columns]
+    basics = one.select(F.inline(F.array(*cells)))
     return basics.join(quantiles(tall, ["column"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}), "column", "left")
 
 
@@ -204,12 +202,11 @@ def last_vs_rest(features: DataFrame) -> DataFrame:
         "ic_share_5min": F.col("n_ic_5min") / F.col("n_all_5min"),
         "n_cg_10min": F.col("n_cg_10min").cast("double"),
     }
-    cells = F.array(*[F.struct(F.lit(n).alias("signal"), c.alias("v")) for n, c in signals.items()])
-    tall = features.select("is_last_lightning_cloud_ground", F.inline(cells))
     last = F.col("is_last_lightning_cloud_ground")
-    both = tall.groupBy("signal").agg(
-        F.avg(F.when(~last, F.col("v"))).alias("mean_rest"), F.avg(F.when(last, F.col("v"))).alias("mean_last")
-    )
+    sides = {"mean_rest": ~last, "mean_last": last}
+    one = features.agg(*[F.avg(F.when(side, c)).alias(f"{n}|{m}") for n, c in signals.items() for m, side in sides.items()])
+    cells = [F.struct(F.lit(n).alias("signal"), *[F.col(f"{n}|{m}").alias(m) for m in sides]) for n in signals]
+    both = one.select(F.inline(F.array(*cells)))
     return both.withColumn("gap_pct", 100 * (F.col("mean_last") / F.nullif(F.col("mean_rest"), F.lit(0.0)) - 1))
 
 

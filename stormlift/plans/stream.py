@@ -1,4 +1,4 @@
-"""Streaming queries: the whole strike table replayed, the sink table returned."""
+"""Streaming queries: the whole strike table replayed file by file in several batches, the sink table returned."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from stormlift.streaming import flows as S
 
 def replay(t, flow, table=None, **kw):
     strikes = t.strikes() if table is None else table
-    return S.play(S.feed(strikes, **kw), strikes, flow)
+    return S.play(S.feed(strikes, **kw), strikes, flow, files_per_batch=1)
 
 
 @query("stream_dedupe", sql("strikes", "SELECT lightning_id, airport, us FROM strikes"))

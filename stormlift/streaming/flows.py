@@ -283,9 +283,8 @@ def feed(strikes: DataFrame, slices: int = 3, copies: int = 1) -> str:
     """Write a strike table as a stream source: files in time order, then one far-off strike.
 
     The far-off strike moves the watermark past everything before it, so a replay ends with
-    all windows and states closed. ``copies`` delivers every slice that often. A slice may be
-    several files without order among them: a replay in smaller batches than a slice needs
-    ``strikes`` in one partition, or a delay as long as a slice.
+    all windows and states closed. ``copies`` delivers every slice that often. A slice is one file, so
+    that a replay file by file keeps the order of time.
     """
     spark = strikes.sparkSession
     strikes = materialise(strikes, "replayed")
@@ -298,7 +297,7 @@ def feed(strikes: DataFrame, slices: int = 3, copies: int = 1) -> str:
     for i in range(slices):
         part = strikes.filter((us >= lo + i * span) & (us < lo + (i + 1) * span))
         for _ in range(copies):
-            part.write.mode("append").parquet(path)
+            part.coalesce(1).write.mode("append").parquet(path)
     far = {"lightning_id": F.lit(-1), "date": F.timestamp_micros(F.lit(hi + 48 * HOUR)), "airport": F.lit(""),
            "icloud": F.lit(True), "user_id": F.lit(-1), "airport_alert_id": F.lit(-1)}
     closing = spark.range(1).select(
