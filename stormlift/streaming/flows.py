@@ -171,7 +171,8 @@ def _per_alert(emit: Callable[[dict, list, dict], dict | None], columns: list[st
         else:  # an alert is over 30 minutes after its last strike of any kind
             wake = None if passed > alert["last"] + GAP_US else alert["last"] + GAP_US
         _close_state(state, alert, wake)
-        yield pd.DataFrame(rows, columns=columns)
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
     return step
 
@@ -268,7 +269,8 @@ def live_context(strikes: DataFrame, delay: str = DELAY) -> DataFrame:
         else:
             wake = None if passed >= end else end
         _close_state(state, kept, wake)
-        yield pd.DataFrame(rows, columns=names)
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     schema = "lightning_id bigint, us bigint, airport string, " + ", ".join(f"{c} bigint" for c in CONTEXT)
     return spread.groupBy("airport", "hour").applyInPandasWithState(
