@@ -30,6 +30,9 @@ from stormlift.llm.common import keep, query, row_slices, table, text_buffer, te
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 
+#: The pattern's blanks. Beyond this length a run of them overflows the pattern's look-ahead.
+_LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{50000,}")
+
 #: A chunk ends where the rolling hash of the last WINDOW bytes has CUT_BITS zero bits, or after MOST bytes.
 WINDOW, CUT_BITS, MOST = 16, 9, 1 << 16
 
@@ -56,6 +59,16 @@ class Codec:
         self.names = [str(i) for i in range(SPECIAL_ID + 1)]
 
     def encode(self, text: str) -> np.ndarray:
+        """Ids of one text. Runs of blanks too long for the pattern's look-ahead are cut out and encoded as the one word they are."""
+        out, at = [], 0
+        for m in _LONG_BLANK.finditer(text):
+            last = m.end() == len(text) or text.startswith(SPECIAL, m.end())
+            out.append(self._encode(text[at : m.start()]))
+            at = m.end() if last else m.end() - 1  # the last blank belongs to what follows
+            out.append(np.array(self.encoding._core_bpe.encode_single_piece(text[m.start() : at].encode()), np.uint16))
+        return np.concatenate([*out, self._encode(text[at:])]) if out else self._encode(text)
+
+    def _encode(self, text: str) -> np.ndarray:
         allowed = {SPECIAL} if SPECIAL in text else set()
         return np.array(self.encoding.encode(text, allowed_special=allowed, disallowed_special=()), dtype=np.uint16)
 

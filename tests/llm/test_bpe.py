@@ -23,6 +23,7 @@ def texts():
     shared = ["".join(rng.choice(words) + rng.choice(blanks) for _ in range(400)) for _ in range(3)]
     made = ["".join(rng.choice([*shared[i % 3 :], *words]) + rng.choice(blanks) for _ in range(rng.randrange(1, 6))) for i in range(60)]
     noise = ["".join(chr(rng.choice([rng.randrange(1, 0x250), rng.randrange(0x2000, 0x2070), 32, 32, 10])) for _ in range(1500)) for _ in range(4)]
+    noise += ["x" + " " * 60_000 + end for end in ("", "y", "\n", "\nz", "<|endoftext|>")] + ["\n" * 60_000 + "q", "\x1c" * 60_000 + " a"]
     return [None, "", " ", "\n", " " * 5000, "a" * 100_000, "<|endoftext|>", " <|endoftext|> ", *shared, *shared, *made, *noise, noise[0] + noise[1], noise[1] + noise[0]]
 
 
