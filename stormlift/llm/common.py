@@ -80,7 +80,7 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def row_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 16 << 20):
+def row_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20):
     """Slices of ``batch`` whose texts hold about ``most_bytes`` at most, one row at least."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     total, start = np.cumsum(size), 0

@@ -17,7 +17,7 @@ from stormlift.llm.words import runs, words
 
 #: Words of a seed, words of the shortest tile, least share of an item that seeds and tiles must cover.
 SEED_WORDS, TILE_WORDS, SEED_COVERAGE, COVERAGE = 5, 3, 0.3, 0.8
-_SLICE = 2 << 20
+_SLICE = 1 << 19
 
 
 def tiles(item: list, doc: list, shortest: int = TILE_WORDS) -> list[tuple[int, int, int]]:

@@ -17,7 +17,7 @@ from stormlift.llm.words import runs, words
 FEATURES, SEED, WIDTH, FOLDS, BINS = 256, 7, 3.0, 3, 2000
 RIDGES = (1e-4, 1e-3, 1e-2, 1e-1)
 PREDICT_AT = 0.7
-_SLICE = 2 << 20
+_SLICE = 1 << 19
 
 STATISTICS = (
     "log_words", "log_lines", "words_a_line", "word_bytes", "word_bytes_sd", "short_words", "long_words", "distinct_words",

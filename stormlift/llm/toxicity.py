@@ -37,7 +37,7 @@ MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 600, 1800, 4000
 LANDMARKS, ROUNDS, FOLDS, PENALTY, SEED = 96, 3, 4, 1e-5, 3
 #: Word scores stay within -FAR and FAR; a text without words has two at FAR.
 FAR = -3.0
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 
 
 def _byte_classes() -> np.ndarray:
@@ -348,7 +348,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     """Fit on at most MOST_TOXIC toxic and MOST_CLEAN clean labelled texts of up to MOST_BYTES bytes.
 
     Labels are read only from rows whose crc32(id as text) mod ``parts`` is not ``held``; the sample is the
-    first by a hash of the id. Its size bounds what is broadcast as ids and what the driver fits on.
+    first by a hash of the id. Its size bounds what is broadcast as ids and what the one task of the fit holds.
     """
     known = labels.where((remainder(id_col, parts) != held) & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
@@ -359,9 +359,26 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         return train([], [])
     sample = df.sparkSession.createDataFrame([(r["id"], r["y"]) for r in ids], f"id {known.schema['id'].dataType.simpleString()}, y int")
     texts = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).where(F.octet_length("text") <= MOST_BYTES).join(F.broadcast(sample), "id")
-    rows = texts.groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y")).orderBy("id").collect()
-    seen = sum(r["y"] == 0 for r in rows)
-    return train([r["text"] for r in rows], [r["y"] for r in rows], total.get(0, 0) / max(seen, 1) * max(1, sum(r["y"] == 1 for r in rows)) / max(total.get(1, 0), 1))
+    row = texts.groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y")).coalesce(1).mapInArrow(_fit_task(total.get(0, 0), total.get(1, 0)), _MODEL).first()
+    return Model(np.frombuffer(row["weights"], np.float32), row["intercept"], np.array(row["calibration"])) if row else train([], [])
+
+
+_MODEL = "weights binary, intercept double, calibration array<double>"
+
+
+def _fit_task(clean: int, toxic: int):
+    """The bounded sample in one task, to one row; the driver sees the model only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "y")), strict=True))
+        if not rows:
+            return
+        seen = sum(y for _, _, y in rows)
+        model = train([t for _, t, _ in rows], [y for _, _, y in rows], clean / max(1, len(rows) - seen) * max(1, seen) / max(1, toxic))
+        cols = [pa.array([model.weights.astype(np.float32).tobytes()], pa.binary()), pa.array([model.intercept], pa.float64()), pa.array([model.calibration.tolist()], pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays(cols, names=["weights", "intercept", "calibration"])
+
+    return run
 
 
 def scorer(model: Model):
