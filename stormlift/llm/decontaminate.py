@@ -15,8 +15,8 @@ from stormlift.llm.bloom import Bloom
 from stormlift.llm.common import fresh, keep, query, row_slices, table, text_buffer, text_of
 from stormlift.llm.words import runs, words
 
-#: Words of a seed, words of the shortest tile, least share of an item that seeds and tiles must cover.
-SEED_WORDS, TILE_WORDS, SEED_COVERAGE, COVERAGE = 5, 3, 0.3, 0.8
+#: Words of the shortest tile, and of the seeds that find what may be tiled; least share of an item that tiles must cover; words of the shortest item.
+TILE_WORDS, COVERAGE, ITEM_WORDS = 3, 0.8, 5
 _SLICE = 1 << 19
 
 
@@ -85,9 +85,11 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in row_slices(batch, "text", _SLICE):
             row, _, _, hashed = words(*text_buffer(part.column("text")))
-            first, seed = runs(row, hashed, SEED_WORDS)
+            first, seed = runs(row, hashed, TILE_WORDS)
             sizes = np.bincount(row, minlength=part.num_rows)
             begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            long = sizes[row[first]] >= ITEM_WORDS if len(first) else np.zeros(0, bool)
+            first, seed = first[long], seed[long]
             at = row[first] if len(first) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [part.column("item").take(pa.array(at)), pa.array(sizes[at], pa.int64()), pa.array(first - begins[at], pa.int32()), pa.array(seed.view(np.int64))],
@@ -101,7 +103,7 @@ def _suspects(shared: Bloom):
             for part in row_slices(batch, "text", _SLICE):
                 data, offsets = text_buffer(part.column("text"))
                 row, _, _, hashed = words(data, offsets)
-                first, seed = runs(row, hashed, SEED_WORDS)
+                first, seed = runs(row, hashed, TILE_WORDS)
                 hit = shared.holds(seed)
                 hits: dict[int, set] = {}
                 for r, s in zip(row[first[hit]].tolist(), seed[hit].view(np.int64).tolist(), strict=True):
@@ -136,7 +138,7 @@ def _tiled(coverage: float):
     return run
 
 
-def _found(docs: DataFrame, items: DataFrame, coverage: float, seed_coverage: float) -> tuple[DataFrame, DataFrame]:
+def _found(docs: DataFrame, items: DataFrame, coverage: float) -> tuple[DataFrame, DataFrame]:
     """``docs`` (id, text) as scanned (id, digest), and (digest, item, coverage) of what is contaminated."""
     kind = items.schema["item"].dataType.simpleString()
     items = items.groupBy("text").agg(F.min("item").alias("item"))
@@ -148,25 +150,25 @@ def _found(docs: DataFrame, items: DataFrame, coverage: float, seed_coverage: fl
     met = suspects.select("digest", F.explode("seeds").alias("seed")).join(seeds, "seed")
     at = F.array_sort(F.collect_set("pos"))
     pairs = met.groupBy("digest", "item", "words").agg(at.alias("at"))
-    gaps = F.zip_with(F.slice("at", 2, F.size("at")), F.slice("at", 1, F.size("at") - 1), lambda y, x: F.least(F.lit(SEED_WORDS), F.coalesce(y - x, F.lit(0))))
-    covered = F.aggregate(gaps, F.lit(SEED_WORDS), lambda s, g: s + g)
-    pairs = pairs.where(covered >= seed_coverage * F.col("words")).select("digest", "item")
+    gaps = F.zip_with(F.slice("at", 2, F.size("at")), F.slice("at", 1, F.size("at") - 1), lambda y, x: F.least(F.lit(TILE_WORDS), F.coalesce(y - x, F.lit(0))))
+    covered = F.aggregate(gaps, F.lit(TILE_WORDS), lambda s, g: s + g)
+    pairs = pairs.where(covered / F.col("words") >= coverage)  # every run of a tile is a seed, so tiles cover no more.select("digest", "item")
     named = pairs.join(texts.select(F.col("key").alias("item"), F.col("text").alias("item_text"), F.col("item").alias("name")), "item")
     work = named.join(suspects.select("digest", "text"), "digest").select("digest", F.col("name").alias("item"), "item_text", "text")
     return scanned.select("id", "digest"), work.mapInArrow(_tiled(coverage), f"digest binary, item {kind}, coverage double")
 
 
 def contamination(
-    df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE, seed_coverage: float = SEED_COVERAGE
+    df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE
 ) -> DataFrame:
     """Which documents hold passages of the benchmark, in one piece or reordered.
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. Documents that
-    share five-word seeds with an item are joined to it; if the seeds cover ``seed_coverage`` of the
+    share three-word seeds with an item are joined to it; if the seeds cover ``coverage`` of the
     item's words, greedy string tiling marks the longest common runs of three words or more, and a
-    document is contaminated if the tiles cover ``coverage`` of the item. A fixed-size filter of the
-    benchmark's seeds keeps all other seeds of the corpus out of the shuffle; its false hits fall to
-    the join. Equal texts are tiled once, pair by pair, whatever the number of copies.
+    document is contaminated if the tiles cover ``coverage`` of the item. Seeds cover all that tiles do,
+    so no pair is missed. A fixed-size filter of the benchmark's seeds keeps all other seeds of the
+    corpus out of the shuffle; its false hits fall to the join. Equal texts are tiled once, pair by pair, whatever the number of copies.
 
     Defined cases: null and empty texts are clean; items of fewer than five words, null or empty ones
     match nothing; items with equal texts count as one, under the smallest id; an item without an id
@@ -177,7 +179,7 @@ def contamination(
     """
     docs = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item"), text_of(item_text_col).alias("text"))
-    scanned, found = _found(docs, items, coverage, seed_coverage)
+    scanned, found = _found(docs, items, coverage)
     bad = found.groupBy("digest").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("item")).alias("item_ids"), F.max("coverage").alias("coverage"))
     suspect = scanned.where(F.col("digest").isNotNull()).join(bad, "digest", "left")
     none = F.array().cast(bad.schema["item_ids"].dataType)
@@ -194,7 +196,7 @@ def contamination(
 def without_benchmark(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` without the rows whose text ``contamination`` finds contaminated; all columns pass through."""
     items = benchmark.select(F.col("item_id").alias("item"), text_of("text").alias("text"))
-    scanned, found = _found(df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")), items, COVERAGE, SEED_COVERAGE)
+    scanned, found = _found(df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")), items, COVERAGE)
     bad_texts = found.select("digest").distinct().join(scanned.where(F.col("digest").isNotNull()), "digest").select("id").distinct()
     mark = fresh(df, "bad_id")
     bad_texts = bad_texts.withColumnRenamed("id", mark)

@@ -94,6 +94,39 @@ def test_contamination_equals_brute_force(spark):
     assert sorted((r["doc_id"] for r in clean.collect()), key=repr) == sorted((i for i, _ in docs if i not in bad), key=repr)
 
 
+def test_pairs_without_a_five_word_seed(spark):
+    words = [f"w{i}" for i in range(15)]
+    changed = [f"x{i}" if i in (3, 7, 11) else w for i, w in enumerate(words)]
+    pieces = [words[k : k + 3] for k in (9, 3, 12, 0, 6)]
+    half = [w if i % 5 < 3 else "x" for i, w in enumerate(words)]
+    docs = [(1, " ".join(changed)), (2, " gap ".join(" ".join(p) for p in pieces)), (3, " ".join(half)), (4, "w0 w1 w2 y w4 w5 w6 w7")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(words)), (8, "w0 w1 w2 w3")], "item_id long, text string")
+    want = []
+    for i, t in docs:
+        share = sum(x[2] for x in naive_tiles(words, t.split(), 3)) / 15
+        want.append((i, share >= 0.8, [7] if share >= 0.8 else []))
+    assert [w[1] for w in want] == [True, True, False, False]
+    assert sorted((r["doc_id"], r["contaminated"], r["item_ids"]) for r in dc.contamination(df, bench).collect()) == want
+
+
+def test_contamination_equals_tiling_of_all_pairs(spark):
+    rng = random.Random(4)
+    sentence = lambda n: [rng.choice("abcdefghijkl") for _ in range(n)]
+    items = [(i, sentence(rng.randrange(5, 20))) for i in range(8)]
+    docs = []
+    for n in range(80):
+        own = items[n % 8][1]
+        pieces = [own[k : k + 3 + n % 2] for k in range(0, len(own), 3 + n % 2)]
+        rng.shuffle(pieces)
+        docs.append((n, sentence(n % 7) + [w for p in pieces for w in [*p, *sentence(rng.randrange(2))]]))
+    df = spark.createDataFrame([(n, " ".join(d)) for n, d in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    want = [(n, [i for i, w in items if sum(x[2] for x in naive_tiles(w, d, 3)) / len(w) >= 0.8]) for n, d in docs]
+    assert 20 < sum(bool(w[1]) for w in want) < 80
+    assert sorted((r["doc_id"], r["item_ids"]) for r in dc.contamination(df, bench).collect()) == want
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
