@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stormlift.llm.common import query, table, text_buffer, text_of
+from stormlift.llm.common import keep, query, table, text_buffer, text_of
 from stormlift.llm.quality import remainder
 
 SPAN, DECAY = 6, 0.6
@@ -34,7 +34,7 @@ GAPS = tuple((a, b, DECAY ** (b - 2)) for b in range(2, SPAN) for a in range(1,
 CLASSES, BEGIN, END = 32, 27, 28
 #: The documented bounds of the training sample: toxic and clean texts, and the bytes of a training text.
 MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 600, 1800, 4000
-LANDMARKS, ROUNDS, FOLDS, PENALTY, SEED = 96, 3, 4, 1e-5, 3
+LANDMARKS, ROUNDS, FOLDS, REPEATS, PENALTY, SEED = 96, 3, 4, 5, 1e-5, 3
 #: Word scores stay within -FAR and FAR; a text without words has two at FAR.
 FAR = -3.0
 _SLICE = 1 << 18
@@ -229,6 +229,11 @@ class Model:
     intercept: float
     calibration: np.ndarray
 
+    @property
+    def learned(self) -> bool:
+        """Whether there was anything to learn from; if not, all texts score a half and none is predicted toxic."""
+        return bool(self.weights.any())
+
     def worst(self, texts: pa.Array) -> np.ndarray:
         """The scores of the worst and the second worst word of every text; FAR where there is none."""
         data, offsets = text_buffer(texts)
@@ -281,7 +286,9 @@ class _Sample:
 def train(texts: list[str], labels: list[int], ratio: float = 1.0) -> Model:
     """Fit on a bounded list of labelled texts; ``ratio`` is how many clean texts each clean one here stands for."""
     s = _Sample(texts, labels)
-    if not len(s.word) or s.y.min() == s.y.max():
+    worded = np.zeros(len(s.y), bool)
+    worded[s.text] = True
+    if min((worded & (s.y == c)).sum() for c in (0, 1)) < 2:  # none is left to calibrate by
         return Model(np.zeros(CLASSES**3, np.float32), 0.0, np.zeros(3))
     rng = np.random.default_rng(SEED)
     toxic_text = s.y[s.text] == 1
@@ -325,20 +332,21 @@ def train(texts: list[str], labels: list[int], ratio: float = 1.0) -> Model:
             negative = negative if len(negative) else np.flatnonzero(clean)
         return w
 
-    def worst(w: np.ndarray) -> np.ndarray:
-        score = np.clip(x @ w[:-1].astype(np.float32) + w[-1], FAR, -FAR)
-        out = np.full((len(s.y), 2), FAR)
-        top_two(out, s.text_all, score[s.word_all])
-        return out
-
-    unseen = np.zeros((len(s.y), 2))
-    fold = np.zeros(len(s.y), np.int64)
-    for c in (0, 1):
-        own = np.flatnonzero(s.y == c)
-        fold[own] = rng.permutation(len(own)) % FOLDS
-    for f in range(FOLDS):
-        unseen[fold == f] = worst(solve(fold != f))[fold == f]
-    final = solve(every)
+    # One fit on few labels may be far off: the machine is the mean of all fits, and a text is calibrated by the mean of those that did not see it.
+    fits, held = [], np.zeros(len(s.word_all))
+    for _ in range(REPEATS):
+        fold = np.full(len(s.y), -1)
+        for c in (0, 1):
+            own = np.flatnonzero(worded & (s.y == c))
+            fold[own] = rng.permutation(len(own)) % FOLDS
+        for f in range(FOLDS):
+            w = solve(fold != f)
+            fits.append(w)
+            at = np.flatnonzero((fold == f)[s.text_all])
+            held[at] += (x @ w[:-1].astype(np.float32) + w[-1])[s.word_all[at]] / REPEATS
+    final = np.mean(fits, axis=0)
+    unseen = np.full((len(s.y), 2), FAR)
+    top_two(unseen, s.text_all, np.clip(held, FAR, -FAR))
     weight = np.where(s.y == 1, 1.0, ratio)
     calibration = _logistic(unseen, s.y.astype(float), weight / weight.mean())
     return Model((into @ final[:-1].astype(np.float32)).astype(np.float32), float(final[-1]), calibration)
@@ -348,17 +356,19 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     """Fit on at most MOST_TOXIC toxic and MOST_CLEAN clean labelled texts of up to MOST_BYTES bytes.
 
     Labels are read only from rows whose crc32(id as text) mod ``parts`` is not ``held``; the sample is the
-    first by a hash of the id. Its size bounds what is broadcast as ids and what the one task of the fit holds.
+    first by a hash of the id, of the ids that have a text of one word and of that length. Its size bounds what is broadcast as ids and what the one task of the fit holds.
     """
     known = labels.where((remainder(id_col, parts) != held) & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
+    docs = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).where((F.octet_length("text") <= MOST_BYTES) & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    known = keep(known.join(docs.select("id"), "id", "left_semi"), "usable-labels")
     total = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
     ids = picked[0].unionByName(picked[1]).collect()
     if not ids:
         return train([], [])
     sample = df.sparkSession.createDataFrame([(r["id"], r["y"]) for r in ids], f"id {known.schema['id'].dataType.simpleString()}, y int")
-    texts = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).where(F.octet_length("text") <= MOST_BYTES).join(F.broadcast(sample), "id")
+    texts = docs.join(F.broadcast(sample), "id")
     row = texts.groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y")).coalesce(1).mapInArrow(_fit_task(total.get(0, 0), total.get(1, 0)), _MODEL).first()
     return Model(np.frombuffer(row["weights"], np.float32), row["intercept"], np.array(row["calibration"])) if row else train([], [])
 
@@ -396,24 +406,24 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     Defined cases: null and empty texts score as texts without a toxic word; null ids are scored, not
     learned from; null labels are skipped, of several labels of an id the highest counts, of several
-    texts of an id the least is learned from; without labels of both classes every score is a half; an
-    empty table stays empty; other columns are ignored.
+    texts of an id the least is learned from; without two labelled texts of both classes every score is
+    a half and nothing is predicted toxic; an empty table stays empty; other columns are ignored.
 
     Returns the id column, held_out, score, predicted.
     """
     model = fit(df, labels, id_col, text_col, label_col, parts, held)
     scored = df.select(F.col(id_col).alias("id"), scorer(model)(F.col(text_col)).alias("score"))
-    return scored.select(F.col("id").alias(id_col), (remainder("id", parts) == held).alias("held_out"), "score", is_toxic(F.col("score"), predict_at).cast("int").alias("predicted"))
+    return scored.select(F.col("id").alias(id_col), (remainder("id", parts) == held).alias("held_out"), "score", is_toxic(model, F.col("score"), predict_at).cast("int").alias("predicted"))
 
 
-def is_toxic(score: Column, predict_at: float = 0.5) -> Column:
-    return score >= predict_at
+def is_toxic(model: Model, score: Column, predict_at: float = 0.5) -> Column:
+    return score >= predict_at if model.learned else F.lit(False)
 
 
 def without_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", predict_at: float = 0.5) -> DataFrame:
     """``df`` without the rows whose text is predicted toxic; all columns pass through, a column test with no shuffle."""
     model = fit(df, labels, id_col, text_col)
-    return df.where(~is_toxic(scorer(model)(F.col(text_col)), predict_at))
+    return df.where(~is_toxic(model, scorer(model)(F.col(text_col)), predict_at))
 
 
 @query("op8_toxicity")

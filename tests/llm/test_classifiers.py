@@ -127,3 +127,40 @@ def test_toxicity_operator(spark):
     none = toxicity.toxicity_scores(docs, labels.limit(0)).collect()
     assert {r["score"] for r in none} == {0.5}
     assert toxicity.toxicity_scores(docs.limit(0), labels).count() == 0
+
+
+def test_nothing_to_learn_from_drops_nothing(spark):
+    texts, y = made(random.Random(3), ["idiot", "moron"], 60)
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(900, None), (901, "")], "doc_id long, text string")
+    labelled = lambda rows: spark.createDataFrame(rows, "doc_id long, toxic int")
+    every = list(enumerate(y))
+    one_toxic = [(i, k) for i, k in every if not k] + [next((i, 1) for i, k in every if k and not held(i, 5, 0))]
+    for rows in ([], [(i, 0) for i, _ in every], [(i, 1) for i, _ in every], one_toxic, [(i + 5000, k) for i, k in every]):
+        assert not any(r["predicted"] for r in toxicity.toxicity_scores(docs, labelled(rows)).collect())
+        assert toxicity.without_toxic(docs, labelled(rows)).count() == docs.count()
+
+
+def test_the_sample_is_of_usable_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_TOXIC", 40)
+    monkeypatch.setattr(toxicity, "MOST_CLEAN", 80)
+    texts, y = made(random.Random(9), ["idiot", "moron"], 400)
+    long = [i for i in range(400) if i % 5]
+    rows = [(i, texts[i] if i not in long else texts[i] + " the" * 2000) for i in range(400)]
+    docs = spark.createDataFrame(rows + [(i, None) for i in range(400, 600)], "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(y)) + [(i, i % 2) for i in range(400, 1000)], "doc_id long, toxic int")
+    seen = []
+    task = toxicity._fit_task
+    monkeypatch.setattr(toxicity, "_fit_task", lambda clean, toxic: seen.append((clean, toxic)) or task(clean, toxic))
+    out = toxicity.toxicity_scores(docs, labels).where("doc_id < 400").collect()
+    usable = [y[i] for i in range(400) if i not in long and not held(i, 5, 0)]
+    assert seen == [(usable.count(0), usable.count(1))]
+    assert np.mean([r["predicted"] == y[r["doc_id"]] for r in out]) > 0.95
+
+
+def test_few_labels_raise_few_false_alarms():
+    rng = random.Random(4)
+    insults = ["idiot", "moron", "worthless", "scum"]
+    test, y = made(rng, insults, 300)
+    for n in (16, 40, 80):
+        predicted = toxicity.train(*made(rng, insults, n)).text_scores(pa.array(test)) >= 0.5
+        assert predicted[np.array(y) == 0].mean() < 0.05, n
