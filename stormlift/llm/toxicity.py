@@ -2,9 +2,9 @@
 
 The kernel compares two words by the subsequences of three characters they share, wherever gaps fall:
 a subsequence that spans b + 1 places weighs DECAY ** (b - 2), up to SPAN places, and counts are
-divided by a length that grows with the word. Word begin and end are characters of their own. A blank
-between single characters is a gap, so spelled-out words and words with inserted characters still share
-the subsequences of the plain word.
+divided by a length that grows with the word. Word begin and end are characters of their own. Whatever
+is no letter takes no place, and nor does a blank between single characters, so spelled-out words and
+words with any number of inserted marks have the subsequences of the plain word.
 
 A sentence scores as its worst word; a document by its two worst words, calibrated to a probability. Training sentences carry the
 label of their document, so a toxic one is known only to hold some toxic word: after a first fit on
@@ -16,8 +16,11 @@ for each gapped triple.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,7 @@ from stormlift.llm.quality import remainder
 SPAN, DECAY = 6, 0.6
 #: (second, third) place of every gapped triple, and its weight.
 GAPS = tuple((a, b, DECAY ** (b - 2)) for b in range(2, SPAN) for a in range(1, b))
-#: 32 character classes: 0 is skipped, 1 to 26 letters, 27 and 28 word begin and end, 29 to 31 other bytes.
+#: 32 character classes: 0 is skipped, 1 to 26 letters, 27 and 28 word begin and end, 29 to 31 bytes of other letters.
 CLASSES, BEGIN, END = 32, 27, 28
 #: The documented bounds of the training sample: toxic and clean texts, and the bytes of a training text.
 MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 600, 1800, 4000
@@ -51,16 +54,41 @@ def _byte_classes() -> np.ndarray:
 _CLASS_OF = _byte_classes()
 
 
+@cache
+def _letters() -> np.ndarray:
+    """Which code points are letters; marks, joined or of no width, punctuation, digits and signs are not."""
+    out = np.zeros(0x110000, bool)
+    out[[c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "L"]] = True
+    return out
+
+
+def _no_letters(raw: np.ndarray) -> np.ndarray:
+    """Which bytes belong to non-ASCII characters of valid UTF-8 that are no letters."""
+    out = np.zeros(len(raw), bool)
+    lead = np.flatnonzero(raw >= 0xC0)
+    size = 2 + (raw[lead] >= 0xE0).astype(np.int64) + (raw[lead] >= 0xF0)
+    for n in (2, 3, 4):
+        at = lead[(size == n) & (lead + n <= len(raw))]
+        point = raw[at].astype(np.int64) & (0x7F >> n)
+        for k in range(1, n):
+            point = point << 6 | (raw[at + k] & 0x3F)
+        at = at[~_letters()[np.minimum(point, sys.maxunicode)]]
+        for k in range(n):
+            out[at + k] = True
+    return out
+
+
 @dataclass
 class Words:
-    """Words of some texts as places in one byte buffer."""
+    """Words of some texts as places in one buffer of blanks and letters, and as bytes, each text set between line ends."""
 
     classes: np.ndarray
     blank: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     text: np.ndarray
-    lengths: np.ndarray
+    first_byte: np.ndarray
+    end_byte: np.ndarray
 
 
 def split_words(data: np.ndarray, offsets: np.ndarray) -> Words:
@@ -79,9 +107,11 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     edge = np.diff(blank.astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1) + 1, np.flatnonzero(edge == 1) + 1
     classes = _CLASS_OF[raw]
-    letters = np.concatenate([[0], np.cumsum(classes > 0)])
+    classes[_no_letters(raw)] = 0
+    taken = (classes > 0) | blank
+    place = np.concatenate([[0], np.cumsum(taken)])
     text = np.searchsorted(offsets[1:] + np.arange(n) + 1, starts, "right") if n else np.zeros(0, np.int64)
-    return Words(classes, blank, starts, ends, text, letters[ends] - letters[starts])
+    return Words(classes[taken], blank[taken], place[starts], place[ends], text, starts, ends)
 
 
 def _scale(lengths: np.ndarray) -> np.ndarray:
@@ -117,7 +147,7 @@ def word_scores(w: Words, table_of: np.ndarray) -> np.ndarray:
     if not len(w.starts):
         return np.zeros(0)
     total = np.concatenate([[0.0], np.cumsum(at, dtype=np.float64)])
-    return (total[w.ends] - total[w.starts]) * _scale(w.lengths)
+    return (total[w.ends] - total[w.starts]) * _scale(w.ends - w.starts)
 
 
 def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,7 +159,7 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         owner[s:e] = t
     n, parts = len(w.classes), []
     scale = np.ones(len(words))
-    scale[w.text] = _scale(w.lengths)
+    scale[w.text] = _scale(w.ends - w.starts)
     for a, b, weight, feature, used in _triples(w):
         who = owner[a : n - b + a][used]
         parts.append((who, feature[used], weight * scale[who]))
@@ -274,7 +304,7 @@ class _Sample:
             data = np.frombuffer(text.encode().lower(), np.uint8)
             w = split_words(data, np.array([0, len(data)]))
             raw = b" " + data.tobytes() + b" "
-            own = (raw[s:e] for s, e in zip(w.starts.tolist(), w.ends.tolist(), strict=True))
+            own = (raw[s:e] for s, e in zip(w.first_byte.tolist(), w.end_byte.tolist(), strict=True))
             held.append(np.fromiter((number.setdefault(word, len(number)) for word in own), np.int32))
         self.words = list(number)
         self.word_all = np.concatenate(held)

@@ -164,3 +164,25 @@ def test_few_labels_raise_few_false_alarms():
     for n in (16, 40, 80):
         predicted = toxicity.train(*made(rng, insults, n)).text_scores(pa.array(test)) >= 0.5
         assert predicted[np.array(y) == 0].mean() < 0.05, n
+
+
+def test_inserted_characters_of_any_kind_are_seen_through():
+    rng = random.Random(5)
+    insults = ["idiot", "moron", "worthless", "scum"]
+    model = toxicity.train(*made(rng, insults, 600))
+    texts, y = made(rng, insults, 300)
+    clean = [t for t, k in zip(texts, y, strict=True) if not k]
+    assert (model.text_scores(pa.array(clean)) >= 0.5).mean() < 0.02
+    for mark in (".", "--", "..", "*_*", "·", "\u200b", "\u200d\u2060", "\u0301", "\U0001f600", "\u2026\u2026"):
+        for insult in ("idiot", "worthless"):
+            hidden = [f"{t} {mark.join(insult)} and {mark.join(insult)} {t}" for t in clean[:60]]
+            assert (model.text_scores(pa.array(hidden)) >= 0.5).mean() > 0.95, (mark, insult)
+
+
+def test_letters_of_all_scripts_keep_their_places():
+    def classes(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        w = toxicity.split_words(data, np.array([0, len(data)]))
+        return [w.classes[s:e].tolist() for s, e in zip(w.starts, w.ends, strict=True)]
+
+    assert classes("a-b\u00b7\u200bc --- \u00e9\u4e2d\U00020000 d\u0301") == [[1, 2, 3], [], [29 + b % 3 for b in "\u00e9\u4e2d\U00020000".encode()], [4]]
