@@ -23,24 +23,29 @@ ASSIGN_CHARS = 6
 #: What must stand in a text, in either case, before the assignment pattern is worth trying.
 ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: A candidate of the token test: a run of these characters with a digit and a letter.
+#: A candidate of the token test: a run of these characters with a letter.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Hex lengths of common digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512), and identifiers made of words and numbers (no back-tracking).
+#: Hex lengths of common digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512), and what identifiers made of words and numbers look like (no back-tracking).
 DIGEST_CHARS = {32, 40, 56, 64, 96, 128}
 DIGEST = re.compile(r"[0-9a-fA-F]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 IDENTIFIER = re.compile(r"(?>[A-Za-z][a-z]++|[A-Z]{2,}+|[0-9]++|[+/_=-])++")
+#: The words of an identifier: if they too take a token every few characters, it is none.
+LETTERS = re.compile(r"[A-Z]?[a-z]++|[A-Z]++")
 #: Random strings reach about 1.4 to 1.9 characters a token; words and names stand above 2.
 MAX_CHARS_PER_TOKEN = 2.0
 
 
 def is_random(s: str, c: Codec, most: float = MAX_CHARS_PER_TOKEN) -> bool:
     """Few characters a token, and neither a known digest nor an identifier."""
-    if not (any(x.isdigit() for x in s) and any(x.isalpha() for x in s)):
+    if not any(x.isalpha() for x in s) or (len(s) in DIGEST_CHARS and DIGEST.fullmatch(s)) or UUID.fullmatch(s):
         return False
-    if (len(s) in DIGEST_CHARS and DIGEST.fullmatch(s)) or UUID.fullmatch(s) or IDENTIFIER.fullmatch(s):
+    if len(s) >= most * len(c.encode(s)):
         return False
-    return len(s) < most * len(c.encode(s))
+    if not IDENTIFIER.fullmatch(s):
+        return True
+    runs = LETTERS.findall(s)
+    return sum(map(len, runs)) < most * sum(len(c.encode(r)) for r in runs)
 
 
 def scan(text: str, c: Codec, most: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
@@ -81,9 +86,9 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Secrets of every whole text, as code point spans, end exclusive.
 
     Base kinds are the three patterns, leftmost and not overlapping within a kind. Kind ``random``
-    adds runs of 20 and more characters with a digit and a letter that the vocabulary spends a token on
-    every two characters or less; known digest lengths, UUIDs and names of words and numbers are
-    excluded, and so is what already lies inside a base span.
+    adds runs of 20 and more characters with a letter that the vocabulary spends a token on every two
+    characters or less; known digest lengths, UUIDs and names of words and numbers, whose words alone
+    take fewer tokens, are excluded, and so is what already lies inside a base span.
 
     Defined cases: null and empty texts hold nothing; ids that repeat or are null keep a row each; an
     empty table stays empty; other columns are ignored. A narrow scan: no shuffle.

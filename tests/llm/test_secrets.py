@@ -100,3 +100,15 @@ def test_token_efficiency():
     text = f"see {random_strings[0]} and token={random_strings[1]} end"
     spans = secrets.scan(text, c)
     assert (4, 3, 4 + len(random_strings[0])) in spans and sum(k == 3 for _, k, _ in spans) == 1
+
+
+def test_random_strings_of_every_alphabet_are_found():
+    c = codec(default_vocabulary())
+    rng = random.Random(2)
+    low, up, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    for alphabet in (up + "234567", low + "234567", low + digits, up + digits, up + low, up, low):
+        for n in (20, 32, 52):
+            found = sum(secrets.is_random("".join(rng.choice(alphabet) for _ in range(n)), c) for _ in range(200))
+            assert found >= 175, (alphabet, n)
+    names = ["NullPointerExceptionHandler", "MAX_CHARS_PER_TOKEN_2", "usr/local/lib/python3/site-packages", "internationalization", "application-server-2024-backup-01", "====================", "--------------------------"]
+    assert not [s for s in names if secrets.is_random(s, c)]
