@@ -112,7 +112,7 @@ def _suspects(shared: Bloom):
                 digests = [None] * part.num_rows
                 for r in hits:
                     raw = data[offsets[r] : offsets[r + 1]].tobytes()
-                    texts[r], digests[r] = raw.decode(), hashlib.blake2b(raw, digest_size=16).digest()
+                    texts[r], digests[r] = raw.decode(), hashlib.sha256(raw).digest()
                 lists = pa.array([sorted(hits[r]) if r in hits else None for r in range(part.num_rows)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(digests, pa.binary()), pa.array(texts, pa.string()), lists], names=["id", "digest", "text", "seeds"])
 
@@ -194,13 +194,13 @@ def contamination(
 
 
 def without_benchmark(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` without the rows whose text ``contamination`` finds contaminated; all columns pass through."""
+    """``df`` without the rows whose text ``contamination`` finds contaminated, whatever other rows share the id; all columns pass through."""
     items = benchmark.select(F.col("item_id").alias("item"), text_of("text").alias("text"))
     scanned, found = _found(df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")), items, COVERAGE)
-    bad_texts = found.select("digest").distinct().join(scanned.where(F.col("digest").isNotNull()), "digest").select("id").distinct()
-    mark = fresh(df, "bad_id")
-    bad_texts = bad_texts.withColumnRenamed("id", mark)
-    return df.join(bad_texts, df[id_col].eqNullSafe(bad_texts[mark]), "left_anti")
+    bad = found.select("digest").distinct().join(scanned.where(F.col("digest").isNotNull()), "digest").distinct()
+    mark, digest = fresh(df, "bad_id"), fresh(df, "bad_digest")
+    bad = bad.select(F.col("id").alias(mark), F.col("digest").alias(digest))
+    return df.join(bad, df[id_col].eqNullSafe(bad[mark]) & (F.unhex(F.sha2(text_of(text_col), 256)) == bad[digest]), "left_anti")
 
 
 @query("op10_decontamination")

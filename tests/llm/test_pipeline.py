@@ -69,3 +69,18 @@ def test_stages_keep_the_columns(spark, tmp_path):
     for some in (rows, rows.limit(0)):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, some, str(tmp_path)).schema.simpleString() == rows.schema.simpleString()
+
+
+def test_stages_drop_rows_not_ids(spark, tmp_path):
+    rng = random.Random(3)
+    passage = lambda: " ".join("".join(rng.choice(["ka", "lo", "mi", "su", "te"]) for _ in range(4)) for _ in range(40))
+    item, clean, copied = passage(), [passage() for _ in range(6)], passage()
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, item), (None, clean[0]), (None, clean[1]), (None, clean[1]), (4, item), (4, clean[2]), (5, clean[3])]
+    rows += [(1, copied), (6, copied), (6, clean[4]), (7, clean[5]), (7, clean[5]), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    want = sorted([r for r in rows if r[1] != item], key=repr)
+    assert left(corpus_pipeline.decontaminate(spark, docs, str(tmp_path))) == want
+    want = [r for r in rows if r not in ((6, copied), (7, clean[5]), (4, item))] + [(7, clean[5]), (4, item)]
+    assert left(corpus_pipeline.near_dedup(spark, docs, str(tmp_path))) == sorted(want, key=repr)
