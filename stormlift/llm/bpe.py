@@ -258,8 +258,8 @@ def _assemble(path: str, with_ids: bool):
                 cuts = list(zip([0, *ends[:-1]], ends, strict=True))
                 numbered = {k["pos"]: np.frombuffer(k["chunk_ids"], np.uint16) for k in known or ()}
                 done.append(_finish(encode_chunked(b"".join(p["bytes"] for p in pieces), cuts, numbered, c), c, with_ids))
-            cols = [batch.column("id"), *(pa.array([d[k] for d in done], t) for k, t in enumerate(_RESULT.values()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", *_RESULT])
+            cols = [batch.column("digest"), *(pa.array([d[k] for d in done], t) for k, t in enumerate(_RESULT.values()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["digest", *_RESULT])
 
     return run
 
@@ -268,9 +268,10 @@ def bpe_encode(df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_
     """Token ids of every whole text, and digests of the ids and of the text decoded from them.
 
     One pass counts the chunks of all texts; a second encodes texts without a shared chunk at once,
-    writes the others as chunks to the shared folder, and a fixed-size filter of the shared hashes
+    writes the others as chunks to the shared folder, and a filter of bounded size over the shared hashes
     tells the two apart (a false hit only sends a chunk the longer way). Shared chunks are grouped by
-    hash, encoded once each and joined to the texts that hold them.
+    hash, encoded once each and joined to the texts that hold them; equal texts are put together once,
+    and only the results go back to their rows.
 
     Defined cases: null and empty texts have no tokens; the string of the special token becomes its
     id; ids that repeat or are null keep a row each; an empty table stays empty; other columns are ignored.
@@ -281,7 +282,7 @@ def bpe_encode(df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_
     path = vocabulary or default_vocabulary()
     docs = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     counted = docs.select("text").mapInArrow(_hashes, "hash binary, copies long").groupBy("hash").agg(F.sum("copies").alias("copies"))
-    shared = Bloom.of(counted.where(F.col("copies") > 1).select("hash"), "hash")
+    shared = Bloom.of(keep(counted.where(F.col("copies") > 1).select("hash"), "shared"), "hash")
     schema = f"id {docs.schema['id'].dataType.simpleString()}, digest binary, pieces array<struct<hash: binary, bytes: binary>>, {_RESULT_DDL}"
     routed = keep(docs.mapInArrow(_route(path, shared, with_ids), schema), "bpe")
     waiting = routed.where(F.col("pieces").isNotNull()).select("id", "digest", "pieces")
@@ -289,9 +290,9 @@ def bpe_encode(df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_
     once = parts.select("piece.*").groupBy("hash").agg(F.first("bytes").alias("bytes")).mapInArrow(_encode_chunks(path), "hash binary, chunk_ids binary")
     places = parts.select("digest", "pos", "piece.hash").dropDuplicates(["digest", "pos"])
     known = places.join(once, "hash").groupBy("digest").agg(F.collect_list(F.struct("pos", "chunk_ids")).alias("known"))
-    joined = waiting.join(known, "digest", "left").select("id", "pieces", "known")
-    out = f"id {docs.schema['id'].dataType.simpleString()}, {_RESULT_DDL}"
-    done = joined.mapInArrow(_assemble(path, with_ids), out).unionByName(routed.where(F.col("pieces").isNull()).drop("digest", "pieces"))
+    texts = waiting.groupBy("digest").agg(F.first("pieces").alias("pieces")).join(known, "digest", "left").select("digest", "pieces", "known")
+    assembled = texts.mapInArrow(_assemble(path, with_ids), f"digest binary, {_RESULT_DDL}")
+    done = waiting.select("id", "digest").join(assembled, "digest").drop("digest").unionByName(routed.where(F.col("pieces").isNull()).drop("digest", "pieces"))
     return done.select(F.col("id").alias(id_col), *(x for x in _RESULT if with_ids or x != "ids"))
 
 
