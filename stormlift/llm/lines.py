@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stormlift.llm.common import BLANKS, ascii_lower, fresh, query, table, text_of
+from stormlift.llm.common import BLANKS, ascii_lower, fresh, keep, query, table, text_of
 
 
 def line_keys(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -17,17 +17,17 @@ def dropped_positions(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, digest, drop): for every text that loses lines, their positions from 0 in any order.
 
     ``digest`` is a hash of the text, so that rows which share an id keep their own positions. Lines
-    are carried as 128-bit hashes. The documents that hold a line are counted from distinct
+    are written once, as 128-bit hashes. The documents that hold a line are counted from distinct
     (line, document) pairs, so a line of a third of all documents is counted map-side.
     """
-    lines = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).select(
-        "id", F.xxhash64("text").alias("digest"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")
-    )
+    texts = df.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("digest"), F.split(text_of(text_col), "\n", -1).alias("split"))
+    lines = texts.select("id", "digest", F.posexplode("split").alias("pos", "line"))  # the hash is a text's, not taken again for every line
     lines = (
         line_keys(lines.where(F.char_length("line") >= min_chars))
         .where(F.char_length("key") >= min_chars)
         .select("id", "digest", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"))
     )
+    lines = keep(lines, "lines")
     common = (
         lines.groupBy("h1", "h2", "id")
         .agg(F.lit(1).alias("one"))
@@ -36,7 +36,8 @@ def dropped_positions(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .where(F.col("docs") >= min_docs)
         .select("h1", "h2", "keeper")
     )
-    gone = lines.join(common, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
+    common = keep(common, "common-lines")  # read again, it is dealt out anew, and adaptive execution may split the hot lines
+    gone = lines.join(common.hint("merge"), ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
     return gone.groupBy("id", "digest").agg(F.collect_set("pos").alias("drop"))
 
 
@@ -60,8 +61,13 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     text = text_of(text_col)
     joined = df.join(gone, df[id_col].eqNullSafe(gone[at]) & (F.xxhash64(text) == gone[digest]), "left")
     lines = F.split(text, "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop))
-    kept = F.when(F.col(drop).isNull(), text).otherwise(F.array_join(F.transform(stay, lambda p: F.get(lines, p)), "\n"))
+
+    def without(held):
+        stay = F.array_except(F.sequence(F.lit(0), F.size(held) - 1), F.col(drop))
+        return F.array_join(F.transform(stay, lambda p: F.get(held, p)), "\n")
+
+    once = F.get(F.transform(F.array(lines), without), 0)  # bound to a name, the text is split once and not for every line
+    kept = F.when(F.col(drop).isNull(), text).otherwise(once)
     counts = {n_lines: F.size(lines).cast("long"), n_dropped: F.coalesce(F.array_size(drop), F.lit(0)).cast("long")}
     out = joined.withColumns(counts).withColumn(text_col, kept)
     return out.select(*(f"`{c}`" for c in df.columns), n_lines, n_dropped)

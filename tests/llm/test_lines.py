@@ -1,6 +1,7 @@
 """Line dedup against a plain version."""
 
 import random
+import time
 from collections import defaultdict
 
 from stormlift.llm import lines
@@ -43,3 +44,14 @@ def test_equals_plain(spark):
     assert got == plain(rows)
     assert sum(r[3] for r in got) > 100
     assert lines.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_a_text_of_very_many_lines(spark):
+    shared = [f"shared line {n} " + "x" * 40 for n in range(50)]
+    long = "\n".join(shared[n % 50] if n % 4 == 0 else f"own {n}" for n in range(200_000))
+    rows = [(1, long), (2, None), *((10 + k, "\n".join(shared)) for k in range(5))]
+    began = time.time()
+    got = sorted((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert time.time() - began < 60
+    want = plain([(i, t or "") for i, t in rows])
+    assert got == sorted(want) and got[0][3] == 50_000 and got[0][2] == 200_000
