@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormlift.llm.bloom import Bloom
@@ -81,20 +81,23 @@ def word_list(text: str) -> list[bytes]:
     return [raw[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)]
 
 
-def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in row_slices(batch, "text", _SLICE):
-            row, _, _, hashed = words(*text_buffer(part.column("text")))
-            first, seed = runs(row, hashed, TILE_WORDS)
-            sizes = np.bincount(row, minlength=part.num_rows)
-            begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            long = sizes[row[first]] >= ITEM_WORDS if len(first) else np.zeros(0, bool)
-            first, seed = first[long], seed[long]
-            at = row[first] if len(first) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("item").take(pa.array(at)), pa.array(sizes[at], pa.int64()), pa.array(first - begins[at], pa.int32()), pa.array(seed.view(np.int64))],
-                names=["item", "words", "pos", "seed"],
-            )
+def _item_seeds(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in row_slices(batch, "text", _SLICE):
+                row, _, _, hashed = words(*text_buffer(part.column("text")))
+                first, seed = runs(row, hashed, TILE_WORDS)
+                sizes = np.bincount(row, minlength=part.num_rows)
+                begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                long = sizes[row[first]] >= least if len(first) else np.zeros(0, bool)
+                first, seed = first[long], seed[long]
+                at = row[first] if len(first) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("item").take(pa.array(at)), pa.array(sizes[at], pa.int64()), pa.array(first - begins[at], pa.int32()), pa.array(seed.view(np.int64))],
+                    names=["item", "words", "pos", "seed"],
+                )
+
+    return run
 
 
 def _suspects(shared: Bloom):
@@ -119,6 +122,26 @@ def _suspects(shared: Bloom):
     return run
 
 
+def _coverable(coverage: float):
+    """The pairs whose shared seeds cover enough of the item. Every run of a tile is a seed: tiles cover no more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = []
+            for n, (seeds, own, size) in enumerate(zip(batch.column("seeds").to_pylist(), batch.column("own").to_pylist(), batch.column("words").to_pylist(), strict=True)):
+                seeds, covered, last = set(seeds), 0, -TILE_WORDS
+                for at, seed in enumerate(own):
+                    if seed in seeds:
+                        covered += min(TILE_WORDS, at - last)
+                        last = at
+                if covered / size >= coverage:
+                    some.append(n)
+            at = pa.array(some, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("digest").take(at), batch.column("item").take(at)], names=["digest", "item"])
+
+    return run
+
+
 def _tiled(coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,28 +161,33 @@ def _tiled(coverage: float):
     return run
 
 
-def _found(docs: DataFrame, items: DataFrame, coverage: float) -> tuple[DataFrame, DataFrame]:
+def _found(docs: DataFrame, items: DataFrame, coverage: float, item_words: int = ITEM_WORDS) -> tuple[DataFrame, DataFrame]:
     """``docs`` (id, text) as scanned (id, digest), and (digest, item, coverage) of what is contaminated."""
     kind = items.schema["item"].dataType.simpleString()
     items = items.groupBy("text").agg(F.min("item").alias("item"))
     texts = keep(items.select(F.monotonically_increasing_id().alias("key"), "item", "text"), "items")
-    seeds = texts.select(F.col("key").alias("item"), "text").mapInArrow(_item_seeds, "item long, words long, pos int, seed long")
+    seeds = texts.select(F.col("key").alias("item"), "text").mapInArrow(_item_seeds(item_words), "item long, words long, pos int, seed long")
+    seeds = keep(seeds, "seeds")
     schema = f"id {docs.schema['id'].dataType.simpleString()}, digest binary, text string, seeds array<long>"
     scanned = keep(docs.mapInArrow(_suspects(Bloom.of(seeds, "seed")), schema), "suspects")
     suspects = scanned.where(F.col("seeds").isNotNull()).select("digest", "text", "seeds").dropDuplicates(["digest"])
-    met = suspects.select("digest", F.explode("seeds").alias("seed")).join(seeds, "seed")
-    at = F.array_sort(F.collect_set("pos"))
-    pairs = met.groupBy("digest", "item", "words").agg(at.alias("at"))
-    gaps = F.zip_with(F.slice("at", 2, F.size("at")), F.slice("at", 1, F.size("at") - 1), lambda y, x: F.least(F.lit(TILE_WORDS), F.coalesce(y - x, F.lit(0))))
-    covered = F.aggregate(gaps, F.lit(TILE_WORDS), lambda s, g: s + g)
-    pairs = pairs.where(covered / F.col("words") >= coverage)  # every run of a tile is a seed, so tiles cover no more.select("digest", "item")
+    held = keep(suspects.select("digest", "seeds"), "suspect-seeds")
+    asked = held.select("digest", F.explode("seeds").alias("seed"))
+    common = asked.groupBy("seed").agg(F.count("*").alias("docs"))
+    # Tiles of three words and more that cover an item enough hold a third as many of its seeds at least; of so many, all but one may be left out of the search.
+    sure = F.ceil(F.ceil(F.col("words") * coverage - 1e-9) / TILE_WORDS)
+    order = Window.partitionBy("item").orderBy(F.desc("docs"), "pos")
+    rare = seeds.join(common, "seed").withColumn("place", F.row_number().over(order)).where(F.col("place") >= sure).select("seed", "item").distinct()
+    met = asked.join(rare, "seed").select("digest", "item").distinct()
+    own = seeds.groupBy("item", "words").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "seed"))), lambda x: x["seed"]).alias("own"))
+    pairs = met.join(held, "digest").join(own, "item").mapInArrow(_coverable(coverage), "digest binary, item long")
     named = pairs.join(texts.select(F.col("key").alias("item"), F.col("text").alias("item_text"), F.col("item").alias("name")), "item")
     work = named.join(suspects.select("digest", "text"), "digest").select("digest", F.col("name").alias("item"), "item_text", "text")
     return scanned.select("id", "digest"), work.mapInArrow(_tiled(coverage), f"digest binary, item {kind}, coverage double")
 
 
 def contamination(
-    df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE
+    df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE, item_words: int = ITEM_WORDS
 ) -> DataFrame:
     """Which documents hold passages of the benchmark, in one piece or reordered.
 
@@ -167,11 +195,12 @@ def contamination(
     share three-word seeds with an item are joined to it; if the seeds cover ``coverage`` of the
     item's words, greedy string tiling marks the longest common runs of three words or more, and a
     document is contaminated if the tiles cover ``coverage`` of the item. Seeds cover all that tiles do,
-    so no pair is missed. A fixed-size filter of the benchmark's seeds keeps all other seeds of the
+    so no pair is missed. Of the seeds an item must share, its most common ones but one are not searched
+    for, which keeps seeds that stand everywhere out of the join. A filter of bounded size over the benchmark's seeds keeps all other seeds of the
     corpus out of the shuffle; its false hits fall to the join. Equal texts are tiled once, pair by pair, whatever the number of copies.
 
-    Defined cases: null and empty texts are clean; items of fewer than five words, null or empty ones
-    match nothing; items with equal texts count as one, under the smallest id; an item without an id
+    Defined cases: null and empty texts are clean; items of fewer than ``item_words`` words (or
+    of a seed's three), null or empty ones match nothing; items with equal texts count as one, under the smallest id; an item without an id
     counts but is not listed; ids that repeat or are
     null keep a row each; empty tables give clean or no rows; other columns are ignored.
 
@@ -179,7 +208,7 @@ def contamination(
     """
     docs = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item"), text_of(item_text_col).alias("text"))
-    scanned, found = _found(docs, items, coverage)
+    scanned, found = _found(docs, items, coverage, item_words)
     bad = found.groupBy("digest").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("item")).alias("item_ids"), F.max("coverage").alias("coverage"))
     suspect = scanned.where(F.col("digest").isNotNull()).join(bad, "digest", "left")
     none = F.array().cast(bad.schema["item_ids"].dataType)
