@@ -26,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stormlift.llm.common import LOWER, UPPER, keep, query, table, text_of
+from stormlift.llm.bloom import Bloom
+from stormlift.llm.common import LOWER, UPPER, fresh, keep, query, table, text_of
 from stormlift.llm.components import components
 
 #: The generator polynomial of the [23, 12] Golay code, x^11+x^9+x^7+x^6+x^5+x+1.
@@ -53,15 +54,16 @@ def fingerprint(text: str, shingle: int = 4) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(id, fp) of every row; fp is the fingerprint as a signed long."""
-    docs = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    """(id, tag, fp) of every row; fp is the fingerprint as a signed long, tag a hash that tells texts of one id apart."""
+    text = text_of(text_col)
+    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fp.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), pa.array(fp.view(np.int64))], names=["id", "tag", "fp"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, fp long")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, tag long, fp long")
 
 
 @cache
@@ -231,6 +233,15 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return groups.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_links(max_bits), "u long, v long")
 
 
+def _placed(prints: DataFrame, max_bits: int) -> DataFrame:
+    """``prints`` with the root fingerprint and the smallest id of every row's component."""
+    nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    roots = components(links(nodes, max_bits)).withColumnRenamed("node", "fp")
+    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(rooted.select("fp", "root").join(named, "root"), "fp")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = MAX_BITS) -> DataFrame:
     """Fingerprint and component of every row: rows link at ``max_bits`` or fewer differing bits, to any length of chain.
 
@@ -243,13 +254,45 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Returns the id column, fingerprint (16 hex digits), component_id (smallest id reachable).
     """
+    prints = keep(fingerprints(df, id_col, text_col, shingle).drop("tag"), "fingerprints")
+    return _placed(prints, max_bits).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = MAX_BITS) -> DataFrame:
+    """``df`` with one row of every component: one of its smallest id. All columns pass through.
+
+    Decided on (id, hash of the text, fingerprint) alone. The rows to drop are marked by id and hash; a
+    filter of bounded size over the marks lets all other rows pass where they are, and only what it
+    admits is joined to the marks, so that texts without a near copy are not moved.
+
+    Defined cases: rows without an id stay, and still link others; an id goes only with the text that has a near copy; of
+    several texts of the smallest id in a component that with the least hash stays, of equal rows one;
+    null and empty texts are near copies of each other; an empty table stays empty.
+    """
     prints = keep(fingerprints(df, id_col, text_col, shingle), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links(nodes, max_bits)).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    placed = _placed(prints, max_bits)
+    own = F.col("id") == F.col("component_id")
+    gone = placed.where(~own).select("id", "tag", F.lit(False).alias("stays"))
+    heads = placed.where(own).groupBy("root", "id").agg(F.count("*").alias("n"), F.min("tag").alias("least"), F.max("tag").alias("most")).where(F.col("n") > 1)
+    stay = heads.select("id", F.col("least").alias("tag"), F.lit(True).alias("stays"))
+    several = heads.where(F.col("least") != F.col("most")).select("root", "least")  # several texts of one id: the others go
+    lesser = placed.where(own).join(several, "root").where(F.col("tag") != F.col("least")).select("id", "tag", F.lit(False).alias("stays"))
+    at, of, stays, key = (fresh(df, c) for c in ("near_id", "near_tag", "near_stays", "near_key"))
+    marks = gone.unionByName(stay).unionByName(lesser).groupBy("id", "tag").agg(F.max("stays").alias(stays))
+    marks = keep(marks.select(F.col("id").alias(at), F.col("tag").alias(of), stays, F.xxhash64("id", "tag").alias(key)), "near-marks")
+    seen = Bloom.of(marks, key)
+
+    @F.arrow_udf("boolean")
+    def marked(keys: pa.Array) -> pa.Array:
+        return pa.array(seen.holds(keys.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    tag = F.xxhash64(text_of(text_col))
+    hit = F.col(id_col).isNotNull() & marked(F.xxhash64(F.col(id_col), tag))
+    met = df.where(hit).join(marks, (df[id_col] == marks[at]) & (tag == marks[of]), "left")
+    columns = [f"`{c}`" for c in df.columns]
+    rest = met.where(F.col(stays).isNull())
+    first = met.where(F.col(stays)).dropDuplicates([at, of])
+    return df.where(~hit).unionByName(rest.unionByName(first).select(*columns))
 
 
 @query("op2_simhash_near_dedup")
