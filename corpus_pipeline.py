@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormlift.llm.bpe import bpe_encode
-from stormlift.llm.common import fresh, keep, settle, table, text_of
+from stormlift.llm.common import keep, settle, table
 from stormlift.llm.decontaminate import without_benchmark
 from stormlift.llm.lines import dedup_lines
-from stormlift.llm.simhash import near_duplicates
+from stormlift.llm.simhash import without_near_duplicates
 from stormlift.llm.toxicity import without_toxic
 
 
@@ -33,24 +33,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates one row of the smallest id stays; rows without an id stay.
-
-    Rows are told apart by id and text: an id goes only with the text that has a near copy, and of several
-    rows of the smallest id the one whose text has the least digest stays.
-    """
+    """Of each component of near duplicates one row of the smallest id stays; rows without an id stay."""
     settle(spark)
-    digest = F.sha2(text_of("text"), 256)
-    rows = docs.select(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", digest.alias("digest"))).alias("doc_id"), "text")
-    found = near_duplicates(rows).where(F.col("doc_id").isNotNull())
-    marks = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") != F.col("component_id")).alias("gone"))
-    at, of = fresh(docs, "mark_id"), fresh(docs, "mark_digest")
-    marks = marks.where(F.col("gone") | (F.col("n") > 1)).select(F.col("doc_id.doc_id").alias(at), F.col("doc_id.digest").alias(of), "gone")
-    marks = keep(marks, "near-marks")
-    same = (docs["doc_id"] == marks[at]) & (digest == marks[of])
-    alone = docs.join(marks, same, "left_anti")
-    repeated = marks.where(~F.col("gone")).drop("gone")
-    first = docs.join(repeated, same, "inner").dropDuplicates([at, of]).select(*(f"`{c}`" for c in docs.columns))
-    return alone.unionByName(first)
+    return without_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
