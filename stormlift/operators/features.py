@@ -137,6 +137,11 @@ def _ratios(df: DataFrame) -> DataFrame:
     )
 
 
+def derived_columns(rows: DataFrame) -> DataFrame:
+    """The model columns that follow from a row's own windows and counts; ``rows`` may be a stream."""
+    return _ratios(rows.withColumns({"amp_abs": F.abs("amplitude"), "amp_sign": F.signum("amplitude")}))
+
+
 def _v4_ratios(df: DataFrame) -> DataFrame:
     calm = F.col("dt_prev_s") / (F.col("dt_mean_10") + 1)
     sparse = 1 / (F.col("n_cg_5min") + 1)

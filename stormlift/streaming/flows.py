@@ -20,7 +20,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from stormlift.functions.scalars import ALERT, HOUR, MINUTE, in_alert, is_cg, micros
 from stormlift.operators.features import CONTEXT, ROLL
 from stormlift.operators.windows import ALL_MINUTES, CG_MINUTES, HALO, IC_MINUTES
-from stormlift.workspace import materialise, new_path
 
 DELAY = "10 minutes"
 GAP_US = 30 * MINUTE
@@ -123,7 +122,7 @@ def _slope(y: list[float]) -> float | None:
     return sum((x - mid) * v for x, v in enumerate(y)) * 12 / (k * (k * k - 1))
 
 
-def _advance(a: dict, us: int, dist: float, amplitude: float) -> dict:
+def advance(a: dict, us: int, dist: float, amplitude: float) -> dict:
     """Take one CG strike into the alert's state and return its features."""
     dt = 0.0 if a["last_cg"] is None else (us - a["last_cg"]) / 1e6
     a["start"] = us if a["start"] is None else a["start"]
@@ -151,11 +150,16 @@ def _advance(a: dict, us: int, dist: float, amplitude: float) -> dict:
     return out
 
 
+def new_alert() -> dict:
+    """The state of an alert before its first strike."""
+    return json.loads(json.dumps(EMPTY_ALERT))
+
+
 def _per_alert(emit: Callable[[dict, list, dict], dict | None], columns: list[str]) -> Callable:
     """A state function that hands ``emit`` each CG strike of an alert with its features, in order."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        alert = _open_state(state, json.loads(json.dumps(EMPTY_ALERT)))
+        alert = _open_state(state, new_alert())
         ready, alert["wait"], passed = _take_ready(
             state, alert["wait"], batches, ["us", "lightning_id", "icloud", "dist", "amplitude"]
         )
@@ -163,7 +167,7 @@ def _per_alert(emit: Callable[[dict, list, dict], dict | None], columns: list[st
         for us, lid, icloud, dist, amplitude in ready:
             alert["last"] = us
             if not icloud and not alert["lifted"]:  # a lifted alert only waits for its end
-                made = emit(alert, [lid, us, *key], _advance(alert, us, dist, amplitude))
+                made = emit(alert, [lid, us, *key], advance(alert, us, dist, amplitude))
                 if made is not None:
                     rows.append(made)
         if alert["wait"]:
@@ -276,54 +280,3 @@ def live_context(strikes: DataFrame, delay: str = DELAY) -> DataFrame:
     return spread.groupBy("airport", "hour").applyInPandasWithState(
         step, schema, "kept string", "append", GroupStateTimeout.EventTimeTimeout
     )
-
-
-# --- replay --------------------------------------------------------------------------------
-
-
-def feed(strikes: DataFrame, slices: int = 3, copies: int = 1) -> str:
-    """Write a strike table as a stream source: files in time order, then one far-off strike.
-
-    The far-off strike moves the watermark past everything before it, so a replay ends with
-    all windows and states closed. ``copies`` delivers every slice that often. A slice is one file, so
-    that a replay file by file keeps the order of time.
-    """
-    spark = strikes.sparkSession
-    strikes = materialise(strikes, "replayed")
-    path = new_path(spark, "feed")
-    us = micros("date")
-    lo, hi = strikes.agg(F.min(us), F.max(us)).first()
-    if lo is None:
-        raise ValueError("nothing to replay")
-    span = (hi - lo) // slices + 1
-    for i in range(slices):
-        part = strikes.filter((us >= lo + i * span) & (us < lo + (i + 1) * span))
-        for _ in range(copies):
-            part.coalesce(1).write.mode("append").parquet(path)
-    far = {"lightning_id": F.lit(-1), "date": F.timestamp_micros(F.lit(hi + 48 * HOUR)), "airport": F.lit(""),
-           "icloud": F.lit(True), "user_id": F.lit(-1), "airport_alert_id": F.lit(-1)}
-    closing = spark.range(1).select(
-        *[far.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in strikes.schema.fields]
-    )
-    closing.write.mode("append").parquet(path)
-    return path
-
-
-def play(path: str, strikes: DataFrame, flow: Callable[[DataFrame], DataFrame], files_per_batch: int | None = None) -> DataFrame:
-    """Run ``flow`` over a fed folder to the end of its data, into a table, and return the table."""
-    spark = strikes.sparkSession
-    reader = spark.readStream.schema(strikes.schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    out = flow(reader.parquet(path))
-    sink = new_path(spark, "sink")
-    run = (
-        out.writeStream.format("parquet")
-        .option("path", sink)
-        .option("checkpointLocation", new_path(spark, "progress"))
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    run.awaitTermination()
-    return spark.read.schema(out.schema).parquet(sink)
