@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stormlift.functions.scalars import in_alert
+from stormlift.operators import airports as AP
 from stormlift.operators import evaluate as E
 from stormlift.operators import learn as L
 from stormlift.operators import metrics as M
@@ -13,7 +14,7 @@ from stormlift.operators.decide import prediction_rows
 from stormlift.operators.features import MODEL_COLUMNS, encode_airport, model_matrix
 from stormlift.operators.neighbours import nearest
 from stormlift.plans.base import query, s6, shown, sql
-from stormlift.workspace import materialise
+from stormlift.workspace import materialise, new_path
 
 SIZE, DEPTH, STEP = 5, 3, 0.1
 PLAIN = ["dt_prev_s", "dist", "amplitude", "maxis", "azimuth"]
@@ -107,28 +108,78 @@ def train_early_stop(t):
     return shown_scores(L.score(rows.filter("fold = 0"), model))
 
 
+def airport_models(t):
+    """Every airport's models of all folds, and the global ones; fitted once."""
+
+    def fit():
+        rows = training(t)
+        return AP.fit_airports(rows, MODEL_COLUMNS), AP.fit_airports(rows, MODEL_COLUMNS, own=False)
+
+    return t.once("airport-models", fit)
+
+
+def airport_scores(t):
+    return t.once("airport-oof", lambda: materialise(AP.score_airports(training(t), MODEL_COLUMNS, *airport_models(t), by_fold=True).select(*IDS, "score", "model"), "airport-oof"))
+
+
 @query("train_per_airport")
 def train_per_airport(t):
-    rows = training(t)
-    own = L.train_per_airport(rows, MODEL_COLUMNS, size=2, max_depth=2, step=STEP)
-    whole = L.fit(rows, MODEL_COLUMNS, "gbt_balanced", 2, 2, step=STEP)
-    return shown_scores(L.score_with_fallback(rows, MODEL_COLUMNS, own, whole))
+    """Out-of-fold scores of every strike by its airport's own models."""
+    return shown_scores(airport_scores(t))
+
+
+@query("airport_oof_metrics")
+def airport_oof_metrics(t):
+    """Seven fields for every airport, at its own best threshold on out-of-fold scores."""
+    return shown(AP.airport_metrics(airport_scores(t)))
+
+
+BOTH_CLASSES = "SELECT airport, count(*) AS n, count(*) FILTER (WHERE is_last) AS n_pos FROM cg GROUP BY 1"
+
+
+@query(
+    "airport_oof_checks",
+    sql("cg", f"SELECT airport, n, n_pos, CAST(5 AS BIGINT) AS folds, CAST(0 AS BIGINT) AS out_of_range, CAST(0 AS BIGINT) AS twice FROM ({BOTH_CLASSES})"),
+)
+def airport_oof_checks(t):
+    """What must hold for any model: each strike of an airport scored once, by its fold's models, between 0 and 1."""
+    once = airport_scores(t).groupBy("airport", "lightning_id").agg(F.count("*").alias("times"), F.max("y").alias("y"), F.max("fold").alias("fold"), F.max("score").alias("score"))
+    return once.groupBy("airport").agg(
+        F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("n_pos"), F.count_distinct("fold").alias("folds"),
+        F.count_if(~F.col("score").between(0, 1)).alias("out_of_range"), F.count_if(F.col("times") > 1).alias("twice"),
+    )
+
+
+def airport_pack(t):
+    """The airports' models saved with their thresholds as a pack of two versions, and its newest loaded."""
+
+    def write():
+        path, (own, whole) = new_path(t.spark, "airport-pack"), airport_models(t)
+        for version in (1, 2):
+            AP.save_airport_pack(path, version, MODEL_COLUMNS, own, whole, AP.airport_metrics(airport_scores(t)))
+        return path
+
+    return AP.load_airport_pack(t.spark, t.once("airport-pack", write))
 
 
 @query("score_with_fallback")
 def score_with_fallback(t):
-    """One airport has its own model, the others are scored by the global one."""
-    rows = training(t)
-    own = L.train_per_airport(rows, MODEL_COLUMNS, "logistic_balanced", size=10, max_models=1)
-    whole = L.fit(rows, MODEL_COLUMNS, "logistic_balanced", 10)
-    return shown_scores(L.score_with_fallback(rows, MODEL_COLUMNS, own, whole))
+    """Every airport by its own row of the pack, airports without one by the global row."""
+    return shown_scores(AP.apply_airport_pack(training(t), airport_pack(t)))
+
+
+@query(
+    "pack_routing",
+    sql("cg", f"SELECT airport, CASE WHEN n_pos > 0 AND n_pos < n THEN 'own' ELSE 'global' END AS model, n FROM ({BOTH_CLASSES})"),
+)
+def pack_routing(t):
+    """Which row of the pack scored how many strikes of an airport."""
+    return AP.apply_airport_pack(training(t), airport_pack(t)).groupBy("airport", "model").agg(F.count("*").alias("n"))
 
 
 @query("score")
 def score(t):
     """A pack saved, loaded and applied."""
-    from stormlift.workspace import new_path
-
     rows = training(t)
     path = new_path(t.spark, "pack")
     L.save_pack(path, L.fit(rows, MODEL_COLUMNS, "logistic_balanced", 10), MODEL_COLUMNS, 0.85,
