@@ -61,11 +61,17 @@ def oracle_predictions(strikes: DataFrame) -> DataFrame:
     )
 
 
+def clock(date: str) -> Column:
+    """HH:MM:SS in UTC, whatever the session's time zone."""
+    second = F.pmod(F.floor(micros(date) / 1_000_000), F.lit(86_400))
+    return F.format_string("%02d:%02d:%02d", F.floor(second / 3600), F.floor(F.pmod(second, F.lit(3600)) / 60), F.pmod(second, F.lit(60)))
+
+
 def prediction_display(scored: DataFrame, theta: float = THETA) -> DataFrame:
     """The detail table: clock time, rounded score and the threshold flag."""
     return scored.select(
         "lightning_id",
-        F.date_format("date", "HH:mm:ss").alias("time"),
+        clock("date").alias("time"),
         F.round("dist", 2).alias("dist"),
         "amplitude",
         "maxis",

@@ -158,6 +158,38 @@ def oof(rows: DataFrame, features: list[str], config: str, k: int = FOLDS, **kw)
     return out
 
 
+STORE = "lightning_id bigint, airport string, airport_alert_id bigint, y int, fold bigint, score double, model string"
+
+
+def oof_store(rows: DataFrame, features: list[str], configs: dict[str, dict], path: str, k: int = FOLDS, parallel: int = 4) -> DataFrame:
+    """Out-of-fold scores of several models as one table (strike, alert, y, fold, score, model), a folder a model.
+
+    ``configs`` maps a configuration to the keywords of its ``fit``. Folds and models are fitted ``parallel``
+    at a time; a model whose folder exists is replaced. ``rows`` should be a written table.
+    """
+    spark, keys = rows.sparkSession, ["lightning_id", *ALERT, "y", "fold"]
+
+    def one(job: tuple[str, int]) -> tuple[str, DataFrame]:
+        config, f = job
+        model = fit(rows.filter(F.col("fold") != f), features, config, **configs[config])
+        return config, score(rows.filter(F.col("fold") == f), model).select(*keys, "score")
+
+    with ThreadPoolExecutor(parallel) as pool:
+        parts = list(pool.map(one, [(c, f) for c in configs for f in range(k)]))
+    for config in configs:
+        whole = None
+        for c, part in parts:
+            if c == config:
+                whole = part if whole is None else whole.unionByName(part)
+        whole.write.mode("overwrite").parquet(f"{path}/model={config}")
+    return spark.read.schema(STORE).parquet(path)
+
+
+def aligned(store: DataFrame, models: list[str]) -> DataFrame:
+    """The store with a column for each model: one row a strike, whatever order the models were written in."""
+    return store.groupBy("lightning_id", *ALERT, "y", "fold").pivot("model", models).agg(F.first("score"))
+
+
 def by_airport(rows: DataFrame) -> DataFrame:
     """``rows`` written with one folder for each airport, so that a filter on the airport reads only that."""
     path = new_path(rows.sparkSession, "by-airport")

@@ -10,6 +10,8 @@ from stormlift.operators import explore as X
 from stormlift.operators.features import labelled
 from stormlift.operators.sessions import sessions
 from stormlift.plans.base import query, s6, s6s, shown, sql
+from stormlift.sources.readers import read_strikes, read_strikes_checked, write_table
+from stormlift.workspace import new_path
 
 STRIKE_COLS = "lightning_id, us AS date_us, airport, dist, azimuth, amplitude, maxis, icloud, airport_alert_id"
 KEYS = ["lightning_id", "date", "airport", "dist", "azimuth", "amplitude", "maxis", "icloud", "airport_alert_id"]
@@ -541,7 +543,14 @@ def alert_picker(t):
     return X.alert_picker(t.strikes()).orderBy("airport", "airport_alert_id")
 
 
-@query("random_alert")
+@query(
+    "random_alert",
+    sql(
+        "strikes",
+        """SELECT airport, airport_alert_id FROM (SELECT DISTINCT airport, airport_alert_id FROM strikes WHERE airport_alert_id IS NOT NULL)
+           ORDER BY md5(airport || '|' || airport_alert_id || '|42'), airport, airport_alert_id LIMIT 1""",
+    ),
+)
 def random_alert(t):
     return X.random_alert(t.strikes())
 
@@ -628,3 +637,37 @@ def union_sources(t):
 )
 def alert_sessions(t):
     return sessions(t.raw_strikes(), ["user_id"])
+
+
+SCANNED = ["lightning_id", "airport", "airport_alert_id", "dist", "azimuth", "amplitude", "maxis", "icloud"]
+
+
+@query(
+    "scan_csv",
+    sql("strikes", f"SELECT {', '.join(SCANNED)}, us, is_last AS is_last_lightning_cloud_ground FROM strikes"),
+)
+def scan_csv(t):
+    """Strikes written as CSV and read through the upload contract."""
+    path = new_path(t.spark, "csv")
+    write_table(t.strikes(), path, "csv")
+    return read_strikes(t.spark, path).select(*SCANNED, F.unix_micros("date").alias("us"), "is_last_lightning_cloud_ground")
+
+
+@query(
+    "rejected_rows",
+    sql(
+        "strikes",
+        """SELECT lightning_id, CASE lightning_id % 20 WHEN 1 THEN 'date' WHEN 2 THEN 'airport' ELSE 'malformed' END AS reason,
+             (SELECT count(*) FROM strikes WHERE lightning_id % 20 NOT IN (1, 2, 3)) AS n_accepted
+           FROM strikes WHERE lightning_id % 20 IN (1, 2, 3)""",
+    ),
+)
+def rejected_rows(t):
+    """Rows of a CSV upload that are no strikes, each with its reason, and how many were taken."""
+    path, kind = new_path(t.spark, "upload"), F.col("lightning_id") % 20
+    fields = [F.col(c).cast("string").alias(c) for c in ("lightning_id", "date", "airport", "airport_alert_id", "dist", "azimuth", "amplitude", "maxis", "icloud")]
+    broken = t.strikes().select(*fields).withColumns({"date": F.when(kind == 1, "no time").otherwise(F.col("date")), "airport": F.when(kind == 2, None).otherwise(F.col("airport"))})
+    line = F.to_csv(F.struct(*broken.columns))
+    broken.select(F.when(kind == 3, F.substring_index(line, ",", 4)).otherwise(line).alias("value")).write.text(path)
+    good, rejected = read_strikes_checked(t.spark, path, columns=broken.columns)
+    return rejected.select(F.col("lightning_id").cast("bigint").alias("lightning_id"), "reason", F.lit(good.count()).cast("bigint").alias("n_accepted"))

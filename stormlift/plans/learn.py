@@ -80,32 +80,65 @@ def train_rf(t):
 @query("train_lr")
 def train_lr(t):
     rows = training(t)
-    return shown_scores(L.score(rows, L.fit(rows, MODEL_COLUMNS, "logistic_balanced", 20)))
+    return shown_scores(L.score(rows, L.fit(rows, MODEL_COLUMNS, "logistic_balanced")))
+
+
+#: What the store holds: boosted trees three ways, a forest and the logistic regression; trees few and shallow, so that 25 fits stay short.
+STORED = {
+    "gbt_balanced": {"size": 10, "max_depth": 4, "step": STEP},
+    "gbt_scaled": {"size": 10, "max_depth": 4, "step": STEP},
+    "gbt_v4": {"size": 10, "max_depth": 4, "step": STEP},
+    "forest_balanced": {"size": 20, "max_depth": 8},
+    "logistic_balanced": {},
+}
+
+
+def stored(t):
+    """Out-of-fold scores of five models, written once."""
+    return t.once("oof-store", lambda: L.oof_store(training(t), MODEL_COLUMNS, STORED, new_path(t.spark, "oof-store")))
 
 
 @query("oof_scores")
 def oof_scores(t):
-    return shown_scores(L.oof(training(t), MODEL_COLUMNS, "gbt_balanced", size=SIZE, max_depth=DEPTH, step=STEP))
+    return shown_scores(stored(t).filter("model = 'gbt_balanced'"))
 
 
 @query("oof_metrics")
 def oof_metrics(t):
-    """Metrics of out-of-fold scores of three kinds of model, best F1 first."""
-    rows = training(t)
-    parts = [
-        L.oof(rows, MODEL_COLUMNS, c, size=n, max_depth=2, step=STEP).select("y", F.lit(c).alias("name"), "score")
-        for c, n in (("gbt_v4", 3), ("forest_balanced", 5), ("logistic_balanced", 10))
-    ]
-    tall = materialise(parts[0].unionByName(parts[1]).unionByName(parts[2]), "oof")
-    return shown(M.binary_metrics(tall, ["name"]).orderBy(F.desc("f1")))
+    """Metrics of the out-of-fold scores of every stored model, best F1 first."""
+    return shown(M.binary_metrics(stored(t).withColumnRenamed("model", "name"), ["name"]).orderBy(F.desc("f1")))
+
+
+@query(
+    "oof_store_checks",
+    sql(
+        "cg",
+        "SELECT model, (SELECT count(*) FROM cg) AS n, (SELECT count(*) FROM cg WHERE is_last) AS n_pos, CAST(0 AS BIGINT) AS twice, CAST(0 AS BIGINT) AS out_of_range, "
+        f"CAST(0 AS BIGINT) AS wrong_fold FROM (VALUES {', '.join(f'({c!r})' for c in STORED)}) m(model)",
+    ),
+)
+def oof_store_checks(t):
+    """Every stored model has one score between 0 and 1 for each strike, in the fold its alert was dealt to."""
+    rows = stored(t).join(L.group_folds(t.strikes().filter(in_alert() & ~F.col("icloud"))).withColumnRenamed("fold", "dealt"), ["airport", "airport_alert_id"], "left")
+    once = rows.groupBy("model", "lightning_id").agg(F.count("*").alias("times"), F.max("y").alias("y"), F.max("score").alias("score"), F.max(~F.col("fold").eqNullSafe(F.col("dealt"))).alias("off"))
+    return once.groupBy("model").agg(
+        F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("n_pos"), F.count_if(F.col("times") > 1).alias("twice"),
+        F.count_if(~F.col("score").between(0, 1)).alias("out_of_range"), F.count_if("off").alias("wrong_fold"),
+    )
 
 
 @query("train_early_stop")
 def train_early_stop(t):
-    """Boosting stopped by a held-back training fold; fold 0 is scored."""
+    """Boosting stopped by a held-back training fold; every fold is scored by the model that has not seen it."""
     rows = training(t)
-    model = L.fit(rows.filter("fold != 0"), MODEL_COLUMNS, "gbt_v4", SIZE, DEPTH, stop_fold=1, step=STEP)
-    return shown_scores(L.score(rows.filter("fold = 0"), model))
+    parts = [
+        L.score(rows.filter(F.col("fold") == f), L.fit(rows.filter(F.col("fold") != f), MODEL_COLUMNS, "gbt_v4", SIZE, DEPTH, stop_fold=(f + 1) % L.FOLDS, step=STEP))
+        for f in range(L.FOLDS)
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return shown_scores(out)
 
 
 def airport_models(t):
@@ -182,7 +215,7 @@ def score(t):
     """A pack saved, loaded and applied."""
     rows = training(t)
     path = new_path(t.spark, "pack")
-    L.save_pack(path, L.fit(rows, MODEL_COLUMNS, "logistic_balanced", 10), MODEL_COLUMNS, 0.85,
+    L.save_pack(path, L.fit(rows, MODEL_COLUMNS, "logistic_balanced"), MODEL_COLUMNS, 0.85,
                 rows.select("airport", F.col("airport_enc").cast("bigint").alias("airport_enc")).distinct())
     scored = L.score_pack(rows, L.load_pack(t.spark, path)).withColumnRenamed("confidence", "score")
     return shown_scores(scored)
@@ -204,8 +237,16 @@ def top_features(t):
 
 @query("stacking")
 def stacking(t):
-    rows = materialise(L.with_folds(t.scored_table().drop("fold")).select(*IDS, "s1", "s2", "s3"), "scores")
-    return shown(L.stack(rows, ["s1", "s2", "s3"], iterations=20).select(*IDS, "stacked"))
+    """A meta-learner over the out-of-fold scores of the five stored models, on the same outer folds."""
+    rows = materialise(L.aligned(stored(t), list(STORED)), "aligned")
+    return shown(L.stack(rows, list(STORED)).select(*IDS, "stacked"))
+
+
+@query("ensemble_oof")
+def ensemble_oof(t):
+    """The mean of three stored models' scores, strike by strike."""
+    three = list(STORED)[:3]
+    return shown(M.mean_ensemble(L.aligned(stored(t), three), three).select(*IDS, *three, "ensemble"))
 
 
 @query("calibrate_isotonic")
@@ -225,17 +266,26 @@ def calibrate_platt(t):
     return shown(rows.select("lightning_id", "score", (1 / (1 + F.exp(-odds))).alias("calibrated")))
 
 
+def later_alerts(t):
+    """Alerts whose first strike of any kind comes after the cut: none stands on both sides."""
+    starts = t.strikes().filter(in_alert()).groupBy("airport", "airport_alert_id").agg(F.min(F.unix_micros("date")).alias("start"))
+    return starts.filter(F.col("start") > CUT_US).select("airport", "airport_alert_id")
+
+
 def later_strikes(t):
-    return t.strikes().filter(F.unix_micros("date") > CUT_US)
+    """Strikes of later alerts, and strikes outside alerts after the cut."""
+    strikes = t.strikes()
+    inside = strikes.join(later_alerts(t), ["airport", "airport_alert_id"], "left_semi")
+    return inside.unionByName(strikes.filter(F.col("airport_alert_id").isNull() & (F.unix_micros("date") > CUT_US)).select(*inside.columns))
 
 
 def later_scores(t):
-    """CG strikes after the cut, scored by a model fitted on what came before it; written once."""
+    """CG strikes of later alerts, scored by a model fitted on all earlier alerts; written once."""
 
     def write():
-        rows, early = training(t), F.unix_micros("date") <= CUT_US
-        model = L.fit(rows.filter(early), MODEL_COLUMNS, "logistic_balanced")
-        return materialise(L.score(rows.filter(~early), model, "confidence"), "later")
+        rows, late = training(t), materialise(later_alerts(t), "later-alerts")
+        model = L.fit(rows.join(late, ["airport", "airport_alert_id"], "left_anti"), MODEL_COLUMNS, "logistic_balanced")
+        return materialise(L.score(rows.join(late, ["airport", "airport_alert_id"], "left_semi"), model, "confidence"), "later")
 
     return t.once("later", write)
 
@@ -250,11 +300,13 @@ def end_to_end_curve(t):
     "end_to_end_checks",
     sql(
         "cg",
-        f"""SELECT (SELECT count(*) FROM cg WHERE us > {CUT_US}) AS n_scored, CAST(0 AS BIGINT) AS out_of_range, CAST(20 AS BIGINT) AS thetas,
+        f"""SELECT (SELECT count(*) FROM cg JOIN started USING (airport, airport_alert_id) WHERE start > {CUT_US}) AS n_scored,
+             CAST(0 AS BIGINT) AS out_of_range, CAST(20 AS BIGINT) AS thetas,
              CAST(0 AS BIGINT) AS gain_rises, CAST(0 AS BIGINT) AS misses_rise, CAST(0 AS BIGINT) AS covered_rises,
-             (SELECT count(*) FROM strikes WHERE us > {CUT_US} AND dist < 3) AS danger,
-             (SELECT count(*) FROM (SELECT DISTINCT airport, airport_alert_id FROM strikes
-              WHERE us > {CUT_US} AND airport_alert_id IS NOT NULL)) AS alerts_total""",
+             (SELECT count(*) FROM strikes LEFT JOIN started USING (airport, airport_alert_id)
+              WHERE coalesce(start, us) > {CUT_US} AND dist < 3) AS danger,
+             (SELECT count(*) FROM started WHERE start > {CUT_US}) AS alerts_total""",
+        "started AS (SELECT airport, airport_alert_id, min(us) AS start FROM strikes WHERE airport_alert_id IS NOT NULL GROUP BY 1, 2)",
     ),
 )
 def end_to_end_checks(t):
@@ -273,7 +325,7 @@ def end_to_end_checks(t):
         F.max("alerts_total").alias("alerts_total"),
     )
     seen = scored.agg(F.count("*").alias("n_scored"), F.count_if(~F.col("confidence").between(0, 1)).alias("out_of_range"))
-    return shown(seen.join(held))
+    return shown(seen.withColumn("_", F.lit(1)).join(held.withColumn("_", F.lit(1)), "_").drop("_"))  # one row each
 
 
 @query("end_to_end_best", None)
