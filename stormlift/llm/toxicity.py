@@ -437,12 +437,13 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     Defined cases: null and empty texts score as texts without a toxic word; null ids are scored, not
     learned from; null labels are skipped, of several labels of an id the highest counts, of several
     texts of an id the least is learned from; without two labelled texts of both classes every score is
-    a half and nothing is predicted toxic; an empty table stays empty; other columns are ignored.
+    0 and nothing is predicted toxic; an empty table stays empty; other columns are ignored.
 
     Returns the id column, held_out, score, predicted.
     """
     model = fit(df, labels, id_col, text_col, label_col, parts, held)
-    scored = df.select(F.col(id_col).alias("id"), scorer(model)(F.col(text_col)).alias("score"))
+    score = scorer(model)(F.col(text_col)) if model.learned else F.lit(0.0)
+    scored = df.select(F.col(id_col).alias("id"), score.alias("score"))
     return scored.select(F.col("id").alias(id_col), (remainder("id", parts) == held).alias("held_out"), "score", is_toxic(model, F.col("score"), predict_at).cast("int").alias("predicted"))
 
 

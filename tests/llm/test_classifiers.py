@@ -125,7 +125,7 @@ def test_toxicity_operator(spark):
     kept = toxicity.without_toxic(docs, labels)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in by.items() if not r["predicted"]}
     none = toxicity.toxicity_scores(docs, labels.limit(0)).collect()
-    assert {r["score"] for r in none} == {0.5}
+    assert {r["score"] for r in none} == {0.0}
     assert toxicity.toxicity_scores(docs.limit(0), labels).count() == 0
 
 
