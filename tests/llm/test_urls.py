@@ -39,12 +39,13 @@ def test_equals_plain(spark):
     items = {r["page_id"]: set(r["items"]) for r in df.select("page_id", urls.url_items(df["url"], *urls.host_and_path(df["url"])).alias("items")).collect()}
     verdict = {i: plain_rule(*plain_parse(u))[1] for i, u in enumerate(texts)}
     seen, blocked = {}, {}
-    for i in items:
-        for n in range(1, 5):
+    labelled = [i for i in items if verdict[i]]
+    for i in labelled:
+        for n in range(1, len(items[i]) + 1):
             for c in combinations(sorted(items[i]), n):
                 seen[c] = seen.get(c, 0) + 1
                 blocked[c] = blocked.get(c, 0) + (verdict[i] == "block")
-    strong = [set(c) for c in seen if blocked[c] >= math.ceil(0.02 * len(texts)) and blocked[c] / seen[c] >= 0.9]
+    strong = [set(c) for c in seen if blocked[c] >= math.ceil(0.02 * len(labelled)) and blocked[c] / seen[c] >= 0.9]
     mined = 0
     for r in rows:
         host, path = plain_parse(texts[r["page_id"]])
@@ -61,8 +62,24 @@ def test_empty_and_undecided_tables(spark):
     assert urls.filter_urls(df.limit(0)).count() == 0
 
 
-def test_long_urls_have_few_tokens(spark):
-    long = "http://" + ".".join("abcdefghijkl") + "/" + "/".join(f"p{i}x" for i in range(60)) + "?" + "&".join(f"k{i}=1" for i in range(60))
-    df = spark.createDataFrame([(i, long) for i in range(200)] + [(900, "http://x.net/es/1")], "page_id long, url string")
-    rows = urls.filter_urls(df).collect()
-    assert len(rows) == 201 and {r["verdict"] for r in rows} == {"allow", "block"}
+def test_long_urls_keep_all_tokens(spark):
+    """The telling token is the fifteenth path part; sixty tokens that always come together are one class."""
+    deep = "/".join(f"p{'x' * i}" for i in range(14))
+    tail = "/".join(f"t{'y' * i}" for i in range(30)) + "?" + "&".join(f"k{i}=1" for i in range(30))
+    made = [f"http://example.com/en/{deep}/bad/{tail}"] * 150 + [f"http://a.com/fr/{deep}/good/{tail}"] * 150
+    made += [f"http://else.org/xx/{deep}/bad/", f"http://else.org/xx/{deep}/good/", f"http://else.org/{deep}/bad/"]
+    df = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
+    rows = {r["page_id"]: r["verdict"] for r in urls.filter_urls(df, min_support=0.1).collect()}
+    assert {rows[i] for i in range(150)} == {"block"} and {rows[i] for i in range(150, 300)} == {"allow"}
+    assert [rows[i] for i in (300, 301, 302)] == ["block", "allow", "allow"]
+
+
+def test_combination_and_a_common_set(spark):
+    """Neither token alone is strong, both together are; one token set is held by most urls."""
+    rules = (("block", "x.org", "/a/b/"), ("allow", "x.org", "/"), ("allow", "y.org", "/"))
+    made = ["http://x.org/a/b/1"] * 25_000 + ["http://x.org/a/c/1"] * 9000 + ["http://y.org/z/b/1"] * 9000
+    made += ["http://q.net/a/b/7", "http://q.net/a/c/7", "http://q.net/z/b/7"]
+    df = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
+    rows = [r["verdict"] for r in urls.filter_urls(df, rules=rules).orderBy("page_id").collect()]
+    assert rows[-3:] == ["block", "allow", "allow"]
+    assert rows.count("block") == 25_001
