@@ -189,10 +189,10 @@ WITH s AS (
 ), need AS (
   SELECT ceil(0.002 * count(*)) AS least FROM i WHERE decided IS NOT NULL
 ), useful AS (
-  SELECT list(token) AS tokens FROM (
+  SELECT coalesce(list(token), []) AS tokens FROM (
     SELECT token FROM i, unnest(items) AS t(token) WHERE decided = 'block' GROUP BY token HAVING count(*) >= (SELECT least FROM need))
 ), sets AS (
-  SELECT [x FOR x IN items IF list_contains(coalesce((SELECT tokens FROM useful), []), x)] AS items, decided, count(*) AS n, list(rid) AS rids FROM i GROUP BY 1, 2
+  SELECT [x FOR x IN items IF list_contains(tokens, x)] AS items, decided, count(*) AS n, list(rid) AS rids FROM i, useful GROUP BY 1, 2
 ), sub AS (
   SELECT rids, decided, n, [items[k] FOR k IN range(1, len(items) + 1) IF ((m >> (k - 1)) & 1) = 1] AS held
   FROM sets, unnest(range(1, CAST(pow(2, len(items)) AS BIGINT))) AS u(m)
