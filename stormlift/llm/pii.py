@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from stormlift.llm.common import fresh, query, table, text_of
 
 ROUNDS = 8
-DEFAULT_KEY = "replace this key"
+#: The setting that holds the key of the registered query, and the key it runs with where that is unset.
+KEY_SETTING, TRIAL_KEY = "spark.stormlift.pii.key", "trial runs only"
 KINDS = ("email", "ip", "card", "ssn", "date", "phone")
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
@@ -32,6 +33,8 @@ PATTERN = "|".join(SHAPES.values())
 
 #: Days of 400 Gregorian years, as the product of the two halves of the date network.
 DATE_SIDES = (189, 773)
+#: Days from 9601-01-01 to 9999-12-31.
+DAYS_BEFORE_10000 = 189 * 773 - 366
 #: Area and group of a social security number (001 to 899 but 666, 01 to 99), and its serial.
 SSN_SIDES = (898 * 99, 9999)
 
@@ -97,14 +100,17 @@ def _luhn(payload: Column) -> Column:
     return F.pmod(-F.aggregate(doubled, F.lit(0), lambda x, y: x + y), F.lit(10))
 
 
-def _card(s: Column, key: str) -> Column:
-    """All digits but the last are permuted; the last keeps its distance from the check digit, so valid numbers stay valid."""
+def _card_valid(s: Column) -> Column:
     d = _digits(s)
     n = F.char_length(d)
-    body = F.substring(d, F.lit(1), n - 1)
-    new = permuted_text(body, key, "card")
-    off = F.substring(d, n, F.lit(1)).cast("int") - _luhn(body)
-    return _with_digits(s, F.concat(new, F.pmod(_luhn(new) + off, F.lit(10)).cast("string")))
+    return F.substring(d, n, F.lit(1)).cast("int") == _luhn(F.substring(d, F.lit(1), n - 1))
+
+
+def _card(s: Column, key: str) -> Column:
+    """All digits but the last are permuted; the last is the check digit of the others."""
+    d = _digits(s)
+    new = permuted_text(F.substring(d, F.lit(1), F.char_length(d) - 1), key, "card")
+    return _with_digits(s, F.concat(new, _luhn(new).cast("string")))
 
 
 def _phone(s: Column, key: str) -> Column:
@@ -156,13 +162,22 @@ def _date_read(s: Column) -> Column:
 
 
 def _date(s: Column, key: str) -> Column:
-    """Days are permuted within the 400 years that hold the date; a string that is no real date is null."""
+    """Days are permuted within the 400 years that hold the date; a string that is no real date is null.
+
+    The last 400 years end with the year 10000, which has five digits: a day in it is permuted on until
+    one before it comes, at most once for each of its 366 days, so the map can still be undone.
+    """
 
     def moved(x: Column) -> Column:
         first = F.make_date(F.floor((F.year(x["day"]) - 1) / 400).cast("int") * 400 + 1, F.lit(1), F.lit(1))
-        days = F.datediff(x["day"], first)
-        p = permuted_pair(F.floor(days / DATE_SIDES[1]), days % DATE_SIDES[1], DATE_SIDES, key, "date")
-        day = F.date_add(first, (p["l"] * DATE_SIDES[1] + p["r"]).cast("int"))
+        ends = F.when(F.year(first) == 9601, DAYS_BEFORE_10000).otherwise(DATE_SIDES[0] * DATE_SIDES[1])
+
+        def walk(days: Column, i: Column) -> Column:
+            p = permuted_pair(F.floor(days / DATE_SIDES[1]), days % DATE_SIDES[1], DATE_SIDES, key, "date")
+            return F.when((i > 0) & (days < ends), days).otherwise((p["l"] * DATE_SIDES[1] + p["r"]).cast("long"))
+
+        turns = F.sequence(F.lit(0), F.when(F.year(first) == 9601, 366).otherwise(0))
+        day = F.date_add(first, F.aggregate(turns, F.datediff(x["day"], first).cast("long"), walk).cast("int"))
         iso = [F.lpad(part.cast("string"), n, "0") for part, n in ((F.year(day), 4), (F.month(day), 2), (F.dayofmonth(day), 2))]
         y, m, d = iso
         fmt = x["fmt"]
@@ -181,7 +196,7 @@ def kind_of(s: Column) -> Column:
     whole = {k: s.rlike(f"^(?:{p})$") for k, p in SHAPES.items()}
     date = whole["date"] & _date_read(s).isNotNull()
     return (
-        F.when(whole["email"], "email").when(whole["ip"], "ip").when(whole["card"], "card").when(whole["ssn"], "ssn").when(date, "date").when(whole["phone"] & ~whole["date"], "phone")
+        F.when(whole["email"], "email").when(whole["ip"], "ip").when(whole["card"] & _card_valid(s), "card").when(whole["ssn"], "ssn").when(date, "date").when(whole["phone"] & ~whole["date"], "phone")
     )
 
 
@@ -198,13 +213,14 @@ def count_columns(df: DataFrame) -> list[str]:
     return [fresh(df, f"n_{k}") for k in KINDS]
 
 
-def pseudonymise(df: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text") -> DataFrame:
+def pseudonymise(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``df`` with personal data in its texts replaced, and how much of each kind was found.
 
-    Found are e-mail addresses (the name changes), IPv4 addresses, card numbers of 13 to 19 digits (valid
-    check digits stay valid, wrong ones wrong), US social security numbers (only assignable ones), dates
+    Found are e-mail addresses (the name changes), IPv4 addresses, card numbers of 13 to 19 digits (only
+    with a right check digit, and so are their pseudonyms), US social security numbers (only assignable ones), dates
     (only real ones; a slashed date is read month first if that is a real date, else day first), and phone
-    numbers (the last ten digits change). Candidates that fail validation stay as they are.
+    numbers (the last ten digits change). Candidates that fail validation stay as they are. Who holds
+    ``key`` can undo the pseudonyms, so there is none by default.
 
     Defined cases: null texts come back null with counts of zero, empty ones empty; very long texts are
     worked on whole; repeated rows get the same pseudonyms; an empty table stays empty; all other columns
@@ -228,6 +244,6 @@ def pseudonymise(df: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text")
 
 @query("op6_pii")
 def pii(spark, sf_dir):
-    """No SQL: DuckDB's patterns know no look-around; tested against a plain version and by going back."""
+    """No SQL: DuckDB's patterns know no look-around; tested against a plain version of the networks."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymise(docs).select("doc_id", *count_columns(docs), "text")
+    return pseudonymise(docs, spark.conf.get(KEY_SETTING, TRIAL_KEY)).select("doc_id", *count_columns(docs), "text")
