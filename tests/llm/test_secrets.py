@@ -109,6 +109,15 @@ def test_random_strings_of_every_alphabet_are_found():
     for alphabet in (up + "234567", low + "234567", low + digits, up + digits, up + low, up, low):
         for n in (20, 32, 52):
             found = sum(secrets.is_random("".join(rng.choice(alphabet) for _ in range(n)), c) for _ in range(200))
-            assert found >= 175, (alphabet, n)
+            assert found >= 180, (alphabet, n)
     names = ["NullPointerExceptionHandler", "MAX_CHARS_PER_TOKEN_2", "usr/local/lib/python3/site-packages", "internationalization", "application-server-2024-backup-01", "====================", "--------------------------"]
     assert not [s for s in names if secrets.is_random(s, c)]
+
+
+def test_many_spans_in_one_text_and_overlaps():
+    """A candidate inside any earlier base span adds nothing, however many spans lie between; time grows with the text."""
+    c = codec(default_vocabulary())
+    key = "q7Zp9XvB2mK4tR8wL1sD6fG3"
+    text = " ".join(f"token={key} {'0123456789abcdef' * 2} {key[::-1]}" for _ in range(20_000))
+    spans = secrets.scan(text, c)
+    assert [sum(k == n for _, k, _ in spans) for n in (0, 2, 3)] == [20_000] * 3
