@@ -1,9 +1,11 @@
 """Exact nearest neighbours in Euclidean space, without comparing all pairs where that can be avoided.
 
-Points are put in the order of one projection and cut into equal tiles. A point first looks in
-its own tile; the k-th distance found bounds how far along the projection a nearer point can
-lie, and the point visits exactly the tiles inside that bound. Results are exact for any data;
-how many tiles are visited depends on how well one projection separates the points.
+Points are cut into strips of equal count along their first principal axis, each strip into tiles of
+equal count along the second, and every tile keeps its bounds on the first few axes. A point first
+looks in its own tile; the k-th distance found bounds how far a nearer point can lie. The strips
+within that reach are joined with their tiles' bounds, and the point visits the tiles whose box is
+near enough: axes are orthonormal, so a box is never farther than its points. Results are exact for
+any data; how many tiles are visited depends on how well these axes separate the points.
 
 Equal points are settled beforehand. With ties going to the lower id, only the k lowest ids of
 a group of copies can be anyone's neighbour, and a point with k copies needs no search.
@@ -11,19 +13,21 @@ a group of copies can be anyone's neighbour, and a point with k copies needs no
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stormlift.operators.ordered import dense_index
+from stormlift.operators.ordered import dense_index, running
 from stormlift.workspace import materialise
 
 TILE = 2048
+AXES = 4  # principal axes a tile's bounds are kept on
 TILES_PER_GROUP = 8  # query tiles that visit together: at most TILE x this many visitors in a task
 CHUNK = 256
 
@@ -72,19 +76,60 @@ def _best(ids, vecs, tile_ids, tile_vecs, k: int, limits=None) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"id": [], "nid": [], "dist": []})
 
 
+def tiles_of(points: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFrame, list[str]]:
+    """``points`` (id, v, ...) with ``strip``, ``tile`` and their place on each axis; the tiles' bounds; the axes' names."""
+    dims = len(points.select("v").first()["v"])
+    fitted = PCA(k=min(AXES, dims), inputCol="_x", outputCol="_p").fit(points.select(array_to_vector("v").alias("_x")))
+    axes = np.linalg.qr(fitted.pc.toArray())[0].T
+    names = [f"p{j}" for j in range(len(axes))]
+
+    def along(axis) -> Column:
+        products = F.zip_with("v", F.array(*[F.lit(float(a)) for a in axis]), lambda a, b: a * b)
+        return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
+
+    seen = points.withColumns({n: along(a) for n, a in zip(names, axes, strict=True)})
+    # as many strips as tiles in a strip
+    side = max(1, math.isqrt(points.count() // tile)) if len(axes) > 1 else 1
+    placed = dense_index(seen, ["p0", "id"], "_g").withColumn("strip", F.floor(F.col("_g") / (tile * side))).drop("_g")
+    if side > 1:
+        placed = running(placed, ["strip"], ["p1", "id"], {"_g": F.lit(1)}).drop("_g_total")
+        placed = placed.withColumn("tile", F.col("strip") * side + F.floor((F.col("_g") - 1) / tile)).drop("_g")
+    else:
+        placed = placed.withColumn("tile", F.col("strip"))
+    tiled = materialise(placed, "tiles")
+    bounds = tiled.groupBy("strip", "tile").agg(*[f(n).alias(f"{t}_{n}") for n in names for t, f in (("lo", F.min), ("hi", F.max))])
+    return tiled, materialise(bounds, "bounds"), names
+
+
+def tile_visits(asking: DataFrame, bounds: DataFrame, names: list[str]) -> DataFrame:
+    """One row per point of ``asking`` (id, v, tile, axes, ``reach`` or null) and other tile in reach: id, v, reach, home, tile."""
+    # the strips' edges on the first axis: as many as the root of the number of tiles
+    edges = bounds.groupBy("strip").agg(F.min("lo_p0").alias("lo"), F.max("hi_p0").alias("hi")).orderBy("strip").collect()
+    strips, lows, highs = (np.array([e[i] for e in edges]) for i in range(3))
+
+    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            r = pdf["reach"] + pdf["slack"]
+            first = strips[np.minimum(np.searchsorted(highs, pdf["p0"] - r, side="left"), len(strips) - 1)]
+            last = strips[np.maximum(np.searchsorted(lows, pdf["p0"] + r, side="right") - 1, 0)]
+            yield pdf.assign(first=first, last=last)
+
+    reach = F.coalesce("reach", F.lit(float("inf")))
+    slack = 1e-9 * (1 + F.greatest(*[F.abs(n) for n in names], F.lit(0.0)))  # projections are rounded
+    asked = asking.select("id", "v", *names, F.col("tile").alias("home"), reach.alias("reach"), slack.alias("slack"))
+    asked = asked.mapInPandas(spans, ", ".join(f"{c} {t}" for c, t in asked.dtypes) + ", first bigint, last bigint")
+    asked = asked.filter("first <= last").withColumn("strip", F.explode(F.sequence("first", "last"))).drop("first", "last")
+    gap = [F.greatest(F.col(f"lo_{n}") - F.col(n), F.col(n) - F.col(f"hi_{n}"), F.col("slack")) - F.col("slack") for n in names]
+    near = sum((g * g for g in gap), F.lit(0.0)) <= (F.col("reach") + F.col("slack")) * (F.col("reach") + F.col("slack"))
+    return asked.join(bounds, "strip").filter(near & (F.col("tile") != F.col("home"))).select("id", "v", "reach", "home", "tile")
+
+
 def nearest(points: DataFrame, k: int, tile: int = TILE) -> DataFrame:
     """(id, nid, dist, place) for the k nearest neighbours of every point. ``points``: id, v array<double>."""
     if points.isEmpty():
         return points.sparkSession.createDataFrame([], PAIRS + ", place bigint")
     points, settled = _split_copies(points, k)
-    fitted = PCA(k=1, inputCol="_x", outputCol="_p").fit(points.select(array_to_vector("v").alias("_x")))
-    axis = fitted.pc.toArray()[:, 0]
-    axis = axis / np.linalg.norm(axis)
-    along = F.aggregate(
-        F.zip_with("v", F.array(*[F.lit(float(a)) for a in axis]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x
-    )
-    placed = dense_index(points.select("id", "v", "ask", along.alias("p")), ["p", "id"], "g")
-    tiled = materialise(placed.select("id", "v", "ask", "p", F.floor(F.col("g") / tile).alias("tile")), "tiles")
+    tiled, bounds, names = tiles_of(points, tile)
 
     def own(pdf: pd.DataFrame) -> pd.DataFrame:
         vecs, ids, ask = np.stack(pdf["v"].to_numpy()), pdf["id"].to_numpy(), pdf["ask"].to_numpy(dtype=bool)
@@ -92,29 +137,8 @@ def nearest(points: DataFrame, k: int, tile: int = TILE) -> DataFrame:
 
     at_home = materialise(tiled.select("id", "v", "ask", "tile").groupBy("tile").applyInPandas(own, PAIRS), "near")
     reach = at_home.groupBy("id").agg(F.when(F.count("*") == k, F.max("dist")).alias("reach"))
-    # tile edges: one pair of numbers per tile of points
-    edges = tiled.groupBy("tile").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).orderBy("tile").collect()
-    lows, highs = np.array([e.lo for e in edges]), np.array([e.hi for e in edges])
-
-    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            slack = 1e-9 * (1 + pdf["p"].abs())  # the projection is rounded
-            r = pdf["reach"].fillna(np.inf) + slack
-            first = np.searchsorted(highs, pdf["p"] - r, side="left")
-            last = np.searchsorted(lows, pdf["p"] + r, side="right") - 1
-            yield pdf.assign(first=first, last=last)
-
-    spans = tiled.filter("ask").drop("ask").join(reach, "id", "left").mapInPandas(
-        visits, "id bigint, v array<double>, p double, tile bigint, reach double, first bigint, last bigint"
-    )
-    asked = spans.select(
-        "id",
-        "v",
-        F.coalesce("reach", F.lit(float("inf"))).alias("reach"),
-        F.floor(F.col("tile") / TILES_PER_GROUP).alias("party"),
-        F.col("tile").alias("home"),
-        F.explode(F.sequence("first", "last")).alias("tile"),
-    ).filter(F.col("tile") != F.col("home"))
+    visits = tile_visits(tiled.filter("ask").drop("ask", "strip").join(reach, "id", "left"), bounds, names)
+    asked = visits.withColumn("party", F.floor(F.col("home") / TILES_PER_GROUP))
     parties = asked.select(F.col("party").alias("host_party"), F.col("tile").alias("host_tile")).distinct()
     residents_of = tiled.select("id", "v", F.col("tile").alias("host_tile")).join(parties, "host_tile")
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stormlift.operators import learn as L
-from stormlift.operators.neighbours import nearest
+from stormlift.operators.neighbours import nearest, tile_visits, tiles_of
 
 
 @pytest.fixture(scope="module")
@@ -160,3 +160,16 @@ def test_stack_and_calibration(rows):
 def test_every_configuration_builds():
     for make, weighting, resample in L.CONFIGS.values():
         assert make() is not None and weighting in ("none", "balanced", "scaled") and resample in (None, "smote", "smote_tomek")
+
+
+def test_share_of_tiles_visited_falls_with_the_table(spark):
+    """Boxes on two axes: ten times the points, and a point visits a smaller share of the tiles."""
+    rng = np.random.default_rng(4)
+    shares = []
+    for n in (2000, 20_000):
+        rows = [(i, [float(a), float(b)]) for i, (a, b) in enumerate(rng.normal(size=(n, 2)))]
+        tiled, bounds, names = tiles_of(spark.createDataFrame(rows, "id long, v array<double>"), 64)
+        visits = tile_visits(tiled.withColumn("reach", F.lit(2 / n**0.5)), bounds, names).count()
+        shares.append(visits / n / bounds.count())
+        assert tiled.groupBy("tile").count().agg(F.max("count")).first()[0] <= 64
+    assert shares[1] < shares[0] / 4 and shares[0] < 0.3
