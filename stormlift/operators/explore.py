@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stormlift.functions.scalars import ALERT, MINUTE, clip, in_alert, is_cg, micros, utc_month
-from stormlift.operators.ordered import quantiles, running
+from stormlift.operators.ordered import running
 from stormlift.operators.windows import MAX_GROUP_ROWS, must_cut, place
-
+from stormlift.workspace import materialise
 
 
 def _long(df: DataFrame, columns: list[str], keys: list[str] = ()) -> DataFrame:
@@ -79,15 +79,64 @@ def alert_overview(strikes: DataFrame) -> DataFrame:
     )
 
 
+#: Accuracy of the sketch that brackets a quartile, and how far to either side a bracket may reach, in shares of all values.
+SKETCH = 10_000
+REACHES = (4 / SKETCH, 0.01, 0.1, 1.0)
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+
+
+def _brackets(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], tuple[float, float]]:
+    """Values surely at or below, and at or above, each quartile of each column: two numbers each, from one pass.
+
+    Of all reaches the shortest counts that covers twice the sketch's rank error and two values more.
+    """
+    offs = [(q, r, side) for q in QUARTILES for r in REACHES for side in (-1, 1)]
+    probs = F.array(*[F.lit(min(1.0, max(0.0, QUARTILES[q] + side * r))) for q, r, side in offs])
+    cols = [F.col(c).cast("double") for c in columns]
+    sketch = df.agg(*[F.percentile_approx(c, probs, F.lit(SKETCH)).alias(f"_s{i}") for i, c in enumerate(cols)], *[F.count(c).alias(f"_n{i}") for i, c in enumerate(cols)]).first()
+    out = {}
+    for i, c in enumerate(columns):
+        if n := sketch[f"_n{i}"]:
+            reach = next(r for r in REACHES if r >= 2 / SKETCH + 2 / n or r == REACHES[-1])
+            ends = dict(zip(offs, sketch[f"_s{i}"], strict=True))
+            out |= {(c, q): (ends[q, reach, -1], ends[q, reach, 1]) for q in QUARTILES}
+    return out
+
+
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """count, mean, sd, min, quartiles, max per column; quartiles are exact and interpolated."""
-    tall = _long(df, columns)
+    """count, mean, sd, min, quartiles, max per column; quartiles are exact and interpolated.
+
+    A mergeable sketch brackets every quartile; the pass of the plain aggregates also counts what lies
+    below each bracket, and only the values inside brackets, a thousandth of a large table, are put in order.
+    """
     facts = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    # one row of plain aggregates, turned; only the quartiles need the values in order
-    one = df.agg(*[f(F.col(c).cast("double")).alias(f"{c}|{n}") for c in columns for n, f in facts.items()])
+    brackets = _brackets(df, columns)
+    below = [F.count_if(F.col(c).cast("double") < F.lit(lo)).alias(f"{c}|{q}|below") for (c, q), (lo, _) in brackets.items()]
+    one = df.agg(*[f(F.col(c).cast("double")).alias(f"{c}|{n}") for c in columns for n, f in facts.items()], *below)
     cells = [F.struct(F.lit(c).alias("column"), *[F.col(f"{c}|{n}").alias(n) for n in facts]) for c in columns]
     basics = one.select(F.inline(F.array(*cells)))
-    return basics.join(quantiles(tall, ["column"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}), "column", "left")
+    if not brackets:
+        return basics.withColumns({q: F.lit(None).cast("double") for q in QUARTILES})
+    starts = one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(q).alias("q"), F.col(f"{c}|{q}|below").alias("below"), F.col(f"{c}|count").alias("n")) for c, q in brackets])))
+
+    marks = [
+        F.when(F.col(c).cast("double").between(lo, hi), F.struct(F.lit(c).alias("column"), F.lit(q).alias("q"), F.col(c).cast("double").alias("value")))
+        for (c, q), (lo, hi) in brackets.items()
+    ]
+    inside = df.select(F.array_compact(F.array(*marks)).alias("m")).filter(F.size("m") > 0).select(F.inline("m"))
+    tally = inside.groupBy("column", "q", "value").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running(tally, ["column", "q"], ["value"], {"_upto": F.col("_n")}).join(starts, ["column", "q"])
+    share = F.element_at(F.create_map(*[F.lit(x) for pair in QUARTILES.items() for x in pair]), F.col("q"))
+    at = share * (F.col("n") - 1)
+    upto = F.col("below") + F.col("_upto")
+
+    def pick(pos: Column) -> Column:
+        return F.max(F.when((pos >= upto - F.col("_n")) & (pos < upto), F.col("value")))
+
+    found = ranked.groupBy("column", "q").agg(pick(F.floor(at)).alias("lo"), pick(F.ceil(at)).alias("hi"), F.max(at - F.floor(at)).alias("w"))
+    exact = F.col("lo") + F.col("w") * (F.col("hi") - F.col("lo"))
+    turned = found.groupBy("column").agg(*[F.max(F.when(F.col("q") == q, exact)).alias(q) for q in QUARTILES])
+    return basics.join(turned, "column", "left")
 
 
 def null_profile(df: DataFrame) -> DataFrame:
@@ -127,14 +176,14 @@ def histogram(
 ) -> DataFrame:
     """Density histogram per group over its own range; the last bin includes its right edge.
 
-    Equal values are counted first, so what is joined with the ranges and binned is the distinct
-    values of a group, not its rows. A group whose values are all equal gets the range +-0.5.
+    One pass finds the ranges, a second bins the rows where they lie, so that no more than groups x bins
+    counts a task are shuffled. The ranges, a row per group, are written: Spark then knows their size and
+    broadcasts them only if they are few. A group whose values are all equal gets the range +-0.5.
     """
     by = list(by)
     v = value if limits is None else clip(value, *limits)
-    tally = df.withColumn("_v", v.cast("double")).filter(F.col("_v").isNotNull())
-    tally = tally.groupBy(*by, "_v").agg(F.count("*").alias("_n"))
-    ranges = tally.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
+    rows = df.select(*by, v.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    ranges = rows.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_total"))
     flat = F.col("_lo") == F.col("_hi")
     ranges = ranges.select(
         *by,
@@ -143,13 +192,17 @@ def histogram(
         F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"),
     )
     if by:
-        placed = tally.join(ranges, by)
+        known = materialise(ranges, "ranges")
+        same = F.lit(True)
+        for c in by:
+            same &= F.col(f"rows.{c}").eqNullSafe(F.col(f"known.{c}"))
+        placed = rows.alias("rows").join(known.alias("known"), same).select("rows.*", "_total", "_lo", "_hi")
     else:  # one row of totals: a scalar subquery
         whole = ranges.select(F.struct("_total", "_lo", "_hi")).scalar()
-        placed = tally.withColumn("_r", whole).select("*", "_r._total", "_r._lo", "_r._hi")
+        placed = rows.withColumn("_r", whole).select("*", "_r._total", "_r._lo", "_r._hi")
     width = (F.col("_hi") - F.col("_lo")) / bins
     bin_no = F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(bins - 1))
-    counted = placed.groupBy(*by, bin_no.alias("bin"), "_total", "_lo", "_hi").agg(F.sum("_n").alias("n"))
+    counted = placed.groupBy(*by, bin_no.alias("bin"), "_total", "_lo", "_hi").agg(F.count(F.lit(1)).alias("n"))
     return counted.select(
         *by,
         F.col("bin").cast("bigint").alias("bin"),

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from conftest import at, by_id, strike
 from pyspark.sql import functions as F
@@ -127,3 +128,16 @@ def test_temporal_split_and_numbering(strikes):
     cut = X.temporal_split(s, F.col("date") <= F.lit(at(5)))
     assert by_id(cut, "part") == {1: "train", 2: "eval", 3: "train"}
     assert by_id(X.numbered_per_airport(s), "lightning_airport_id") == {1: 1, 2: 2, 3: 1}
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 11, 40, 400, 30_000])
+def test_describe_equals_numpy(spark, n):
+    """Ties, nulls, a constant and an empty column; small tables and one whose brackets are narrow."""
+    rng = np.random.default_rng(n)
+    a, b = rng.normal(size=n), np.floor(rng.exponential(3, size=n))
+    rows = [(float(x), float(y), None, 7, float(x) if i % 3 else None) for i, (x, y) in enumerate(zip(a, b, strict=True))]
+    got = {r["column"]: r for r in X.describe(spark.createDataFrame(rows, "a double, b double, c double, d int, e double"), list("abcde")).collect()}
+    for c, v in {"a": a, "b": b, "c": a[:0], "d": np.full(n, 7.0), "e": a[np.arange(n) % 3 > 0]}.items():
+        assert got[c]["count"] == len(v)
+        for q, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
+            assert got[c][q] is None if not len(v) else got[c][q] == pytest.approx(np.quantile(v, p), rel=1e-12, abs=1e-12)
