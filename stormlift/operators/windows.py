@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from stormlift.functions.scalars import ALERT, HOUR, MINUTE
+from stormlift.functions.scalars import ALERT, HOUR, MINUTE, SECOND
 from stormlift.operators.ordered import probe_counts, running
 
 CG_MINUTES = (2, 5, 10, 15, 30)
@@ -27,6 +27,8 @@ EMA_LEAST = 1e-17  # exponential weights below this are dropped
 
 # The largest group one task is asked to hold; a larger one is cut into blocks.
 MAX_GROUP_ROWS = 2_000_000
+# Distinct times in a second above which a range join takes the second by milliseconds.
+DENSE_TIMES = 1000
 
 
 def strike_key(df: DataFrame) -> str:
@@ -101,26 +103,47 @@ def context_counts(strikes: DataFrame, wanted: Column, dense: bool = False) -> D
     return counted.filter((F.col("_copy") == 0) & wanted).drop("_copy", "_hour")
 
 
-def context_counts_by_join(strikes: DataFrame, wanted: Column) -> DataFrame:
-    """The same counts as an explicit join on (airport, half hour) with the time range as residual."""
-    asked = strikes.filter(wanted).select("airport", "us", "lightning_id")
-    asked = asked.select("*", F.explode(F.array(F.lit(0), F.lit(-1))).alias("_step")).withColumn(
-        "_slot", F.floor(F.col("us") / HALO) + F.col("_step")
-    )
-    seen = (
-        strikes.groupBy("airport", F.col("us").alias("seen_us"))
-        .agg(F.count_if("icloud").alias("ic"), F.count(F.lit(1)).alias("all"))
-        .withColumn("_slot", F.floor(F.col("seen_us") / HALO))
+def context_counts_by_join(strikes: DataFrame, wanted: Column, dense_times: int = DENSE_TIMES) -> DataFrame:
+    """The same counts as an explicit range join, in buckets as narrow as the density asks.
+
+    A count over [t - w, t] is what lies up to t less what lies before t - w. Each of these ends is
+    joined with the distinct times of its own bucket alone; whole buckets before it are sums of one
+    row a bucket. A bucket is a second, or a millisecond where the second has more than
+    ``dense_times`` distinct times, so none holds more times than that or a thousand, whatever storm
+    a table holds: no task gets more for one key.
+    """
+    times = strikes.groupBy("airport", "us").agg(
+        F.count_if("icloud").alias("ic"), F.count(F.lit(1)).alias("all"), F.count_if(wanted).alias("asked")
     )
-    pairs = asked.join(seen, ["airport", "_slot"]).filter(F.col("seen_us").between(F.col("us") - HALO, F.col("us")))
+    times = times.withColumn("_s", F.floor(F.col("us") / SECOND))
+    dense = times.groupBy("airport", "_s").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > dense_times)
+    fine = F.when(F.col("_n").isNotNull(), F.floor(F.col("at") / (SECOND // 1000))).otherwise(F.col("_s") * 1000)
+
+    def bucketed(df: DataFrame) -> DataFrame:
+        return df.join(dense, ["airport", "_s"], "left").withColumn("bucket", fine).drop("_s", "_n")
+
+    ends = {"now": 0} | {f"{m}": m * MINUTE + 1 for m in IC_MINUTES}
+    marks = F.array(*[F.struct(F.lit(n).alias("slot"), (F.col("us") - back).alias("at")) for n, back in ends.items()])
+    points = times.filter("asked > 0").select("airport", "us", F.inline(marks))
+    points = bucketed(points.withColumn("_s", F.floor(F.col("at") / SECOND)))
+    seen = bucketed(times.withColumn("at", F.col("us"))).select("airport", "bucket", F.col("us").alias("seen_us"), "ic", "all")
+
+    nothing = points.select("airport", "bucket", F.lit(0).alias("ic"), F.lit(0).alias("all"))
+    totals = seen.drop("seen_us").unionByName(nothing).groupBy("airport", "bucket").agg(F.sum("ic").alias("own_ic"), F.sum("all").alias("own_all"))
+    upto = running(totals, ["airport"], ["bucket"], {"upto_ic": F.col("own_ic"), "upto_all": F.col("own_all")})
+    before = upto.select("airport", "bucket", *[(F.col(f"upto_{s}") - F.col(f"own_{s}")).alias(f"before_{s}") for s in ("ic", "all")])
+
+    inside = points.join(seen, ["airport", "bucket"]).filter("seen_us <= at").groupBy("airport", "us", "slot").agg(F.sum("ic").alias("ic"), F.sum("all").alias("all"))
+    counted = points.join(before, ["airport", "bucket"]).join(inside, ["airport", "us", "slot"], "left")
 
-    def total(s: str, m: int) -> Column:
-        return F.sum(F.when(F.col("seen_us") >= F.col("us") - m * MINUTE, F.col(s)).otherwise(0))
+    def reached(s: str, slot: str) -> Column:
+        return F.sum(F.when(F.col("slot") == slot, F.col(f"before_{s}") + F.coalesce(s, F.lit(0))))
 
-    return pairs.groupBy("airport", "lightning_id").agg(
-        *[total("ic", m).alias(f"n_ic_{m}min") for m in IC_MINUTES],
-        *[total("all", m).alias(f"n_all_{m}min") for m in ALL_MINUTES],
+    per_time = counted.groupBy("airport", "us").agg(
+        *[(reached("ic", "now") - reached("ic", f"{m}")).alias(f"n_ic_{m}min") for m in IC_MINUTES],
+        *[(reached("all", "now") - reached("all", f"{m}")).alias(f"n_all_{m}min") for m in ALL_MINUTES],
     )
+    return strikes.filter(wanted).select("airport", "us", "lightning_id").join(per_time, ["airport", "us"]).drop("us")
 
 
 def place(df: DataFrame, cut: bool, block_rows: int, reach: int) -> tuple[DataFrame, list[str]]:
