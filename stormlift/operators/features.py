@@ -55,9 +55,12 @@ LEAKS = {"total_in_alert", "rel_pos", "relative_pos", "remaining", "remaining_in
          "rank_in_alert"}
 
 
+def leaks_in(columns: list[str]) -> list[str]:
+    return sorted(LEAKS & set(columns))
+
+
 def check_no_leaks(columns: list[str]) -> None:
-    found = sorted(LEAKS & set(columns))
-    if found:
+    if found := leaks_in(columns):
         raise ValueError(f"feature table holds columns that know the future: {', '.join(found)}")
 
 

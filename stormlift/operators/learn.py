@@ -234,6 +234,11 @@ def feature_importance(model: PipelineModel) -> DataFrame:
     return SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double")
 
 
+def top_features(importances: DataFrame, n: int = 20) -> DataFrame:
+    """The ``n`` columns of largest importance, ties by name."""
+    return importances.orderBy(F.desc("importance"), "feature").limit(n)
+
+
 def stack(rows: DataFrame, scores: list[str], k: int = FOLDS, iterations: int = 1000) -> DataFrame:
     """Logistic regression on out-of-fold scores, its penalty chosen by inner folds, outer folds as before."""
     assembler = VectorAssembler(inputCols=scores, outputCol="features")

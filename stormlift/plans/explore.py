@@ -653,6 +653,16 @@ def scan_csv(t):
     return read_strikes(t.spark, path).select(*SCANNED, F.unix_micros("date").alias("us"), "is_last_lightning_cloud_ground")
 
 
+@query("scan_sample", sql("strikes", "SELECT least(count(*), 1000) AS n_rows, least(count(*), 1000) AS n_known, least(count(*), 1000) AS n_ids FROM strikes"))
+def scan_sample(t):
+    """A row-capped scan of a CSV: how many rows came, how many are strikes of the table, how many differ."""
+    path = new_path(t.spark, "csv")
+    write_table(t.strikes(), path, "csv")
+    taken = read_strikes(t.spark, path, rows=1000).select("lightning_id")
+    known = taken.join(t.strikes().select("lightning_id", F.lit(True).alias("known")), "lightning_id", "left")
+    return known.agg(F.count(F.lit(1)).alias("n_rows"), F.count("known").alias("n_known"), F.countDistinct("lightning_id").alias("n_ids"))
+
+
 @query(
     "rejected_rows",
     sql(

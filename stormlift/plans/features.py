@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stormlift.functions.scalars import in_alert, is_cg, micros
+from stormlift.operators.explore import alert_clock
 from stormlift.operators.features import (
     CONTEXT,
     RATIOS,
@@ -17,7 +18,10 @@ from stormlift.operators.features import (
     check_no_leaks,
     cold_start_features,
     encode_airport,
+    leaks_in,
+    model_columns,
     model_matrix,
+    MODEL_COLUMNS,
 )
 from stormlift.operators.features import features_v4 as build_v4
 from stormlift.operators.windows import context_counts, context_counts_by_join
@@ -174,6 +178,30 @@ def matrix(t):
     return shown(table.select("lightning_id", *MATRIX, "not_there"))
 
 
+@query("model_columns", sql("feat", f"SELECT lightning_id, {cols(V3)}, airport_enc FROM feat JOIN enc ON eap = airport", ENC))
+def chosen_columns(t):
+    """The model's inputs taken out of the wider table; a wanted column that is not there is left out."""
+    table = encode_airport(t.features())
+    return shown(table.select("lightning_id", *model_columns(table, [*MODEL_COLUMNS, "not_there"])))
+
+
+@query(
+    "leak_guard",
+    sql(
+        "strikes",
+        "SELECT name AS \"column\", n, CAST(0 AS BIGINT) AS n_left FROM (SELECT unnest(['rank_in_alert', 'relative_pos', 'total_in_alert']) AS name, "
+        "(SELECT count(*) FROM strikes WHERE airport_alert_id IS NOT NULL) AS n)",
+    ),
+)
+def leak_guard(t):
+    """The columns of the exploration table that the guard refuses, their values, and how many are model inputs (none)."""
+    table = alert_clock(t.strikes(), t.split())
+    found, taken = leaks_in(table.columns), model_columns(table)
+    counts = table.agg(*[F.count(c).alias(c) for c in found])
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).alias("n"), F.lit(int(c in taken)).cast("bigint").alias("n_left")) for c in found]
+    return counts.select(F.inline(F.array(*cells)))
+
+
 COLD_IN = """cold AS (
   SELECT lightning_id, CAST(1 + lightning_id % 40 AS BIGINT) AS rank_cg, maxis * 3 AS dt_prev_s, dist, azimuth,
          amplitude, maxis, month(make_timestamp(us)) AS month, hour(make_timestamp(us)) AS hour FROM strikes)"""

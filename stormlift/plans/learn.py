@@ -13,6 +13,7 @@ from stormlift.operators import metrics as M
 from stormlift.operators.decide import prediction_rows
 from stormlift.operators.features import MODEL_COLUMNS, encode_airport, model_matrix
 from stormlift.operators.neighbours import nearest
+from stormlift.operators.ordered import layout
 from stormlift.plans.base import query, s6, shown, sql
 from stormlift.workspace import materialise, new_path
 
@@ -232,7 +233,7 @@ def top_features(t):
     """The twenty model columns of largest importance."""
     rows = training(t)
     table = L.feature_importance(L.fit(rows, MODEL_COLUMNS, "gbt_balanced", SIZE, DEPTH, step=STEP))
-    return shown(table.orderBy(F.desc("importance"), "feature").limit(20))
+    return shown(L.top_features(table, 20))
 
 
 @query("stacking")
@@ -266,6 +267,54 @@ def calibrate_platt(t):
     return shown(rows.select("lightning_id", "score", (1 / (1 + F.exp(-odds))).alias("calibrated")))
 
 
+@query(
+    "calibration_checks",
+    sql(
+        "scored",
+        "SELECT name AS model, n, pos AS n_pos, CAST(0 AS BIGINT) AS mean_off, CAST(0 AS BIGINT) AS falls FROM "
+        "(SELECT unnest(['isotonic', 'platt']) AS name, count(*) AS n, count(*) FILTER (WHERE y = 1) AS pos FROM scored)",
+    ),
+)
+def calibration_checks(t):
+    """What must hold for both calibrations: the mean is the positive rate; isotonic never falls, the line never turns."""
+    out = []
+    for name, source, least in (("isotonic", "s1", 1e-6), ("platt", "s3", 1e-3)):
+        rows = t.scored_table().withColumn("score", F.col(source)).select("lightning_id", "score", "y")
+        made = (calibrate_isotonic if name == "isotonic" else calibrate_platt)(t).select("lightning_id", "calibrated")
+        both = rows.join(made, "lightning_id")
+        # equal calibrated values are one block of scores; runs of blocks are compared within ranges of the score
+        blocks = both.groupBy("calibrated").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+        cut = layout(blocks, [], ["lo"], "blocks")
+        near = Window.partitionBy("_part").orderBy("_row")
+        overlap = F.lag("hi").over(near) > F.col("lo")
+        fell, rose = (F.lag("calibrated").over(near) >= F.col("calibrated")) | overlap, (F.lag("calibrated").over(near) <= F.col("calibrated")) | overlap
+        turns = cut.select(fell.alias("fell"), rose.alias("rose"))
+        # a line through the log-odds falls everywhere if the score points the wrong way, but never turns
+        falls = turns.agg((F.count_if("fell") if name == "isotonic" else F.least(F.count_if("fell"), F.count_if("rose"))).alias("falls"))
+        means = both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") == 1).alias("n_pos"), F.avg("calibrated").alias("c"), F.avg("y").alias("y"))
+        off = F.coalesce(F.abs(F.col("c") - F.col("y")) > least, F.lit(False)).cast("bigint")
+        out.append(means.select(F.lit(name).alias("model"), "n", "n_pos", off.alias("mean_off")).withColumn("falls", falls.scalar()))
+    return out[0].unionByName(out[1])
+
+
+@query(
+    "importance_checks",
+    "SELECT name AS model, CAST(%d AS BIGINT) AS n_columns, CAST(0 AS BIGINT) AS negative, CAST(1 AS BIGINT) AS sums_to_one, CAST(20 AS BIGINT) AS n_top, "
+    "CAST(0 AS BIGINT) AS larger_outside FROM (VALUES ('gbt_balanced')) m(name)" % len(MODEL_COLUMNS),
+)
+def importance_checks(t):
+    """What must hold for any importances: one a column, none negative, sum 1, none larger outside the top twenty."""
+    table = L.feature_importance(L.fit(training(t), MODEL_COLUMNS, "gbt_balanced", SIZE, DEPTH, step=STEP))
+    top = L.top_features(table, 20)
+    all_of = table.join(top.select("feature", F.lit(True).alias("top")), "feature", "left")
+    least = F.min(F.when(F.col("top"), F.col("importance")))
+    most = F.max(F.when(F.col("top").isNull(), F.col("importance")))
+    return all_of.agg(
+        F.lit("gbt_balanced").alias("model"), F.countDistinct("feature").alias("n_columns"), F.count_if(F.col("importance") < 0).alias("negative"),
+        (F.abs(F.sum("importance") - 1) < 1e-9).cast("bigint").alias("sums_to_one"), F.count("top").alias("n_top"), (most > least).cast("bigint").alias("larger_outside"),
+    )
+
+
 def later_alerts(t):
     """Alerts whose first strike of any kind comes after the cut: none stands on both sides."""
     starts = t.strikes().filter(in_alert()).groupBy("airport", "airport_alert_id").agg(F.min(F.unix_micros("date")).alias("start"))

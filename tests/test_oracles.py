@@ -10,7 +10,8 @@ CHOSEN = [
     "derive_strikes", "normalize_strikes", "sink_roundtrip", "airport_overview", "describe_duration", "hist_dist",
     "corr_matrix", "features_v4", "ctx_counts_probes", "gain_risk_curve", "gain_risk_by_airport", "best_theta",
     "curve_comparison", "unknown_alerts", "binary_metrics", "metrics_by_airport", "f1_grid_200", "oof_compare",
-    "group_kfold", "minority_neighbours", "alert_sessions", "stream_sessions",
+    "group_kfold", "minority_neighbours", "alert_sessions", "stream_sessions", "ctx_counts_range_join", "leak_guard",
+    "scan_sample", "calibration_checks",
 ]
 
 
