@@ -70,6 +70,23 @@ def test_every_airport_equals_its_own_fit(spark, rows, monkeypatch):
     assert set(got) == want and ("ONE", -1) not in want and ("SOLE", 2) not in want and ("SOLE", 1) in want
 
 
+@pytest.mark.parametrize("together", [0, 100, 10**9])
+def test_airports_solved_whole_and_iterated_are_alike(rows, together, monkeypatch):
+    """Sums of equations are made for the airports beyond the limit alone, and for those only."""
+    iterated, equations = set(), AP._equations
+    monkeypatch.setattr(AP, "_equations", lambda f, mean, sd, k, states: iterated.update(states) or equations(f, mean, sd, k, states))
+    want = {(r["airport"], r["fold"]): r for r in AP.fit_airports(rows, FEATURES).collect()}
+    assert not iterated
+    monkeypatch.setattr(AP, "TOGETHER", together)
+    got = {(r["airport"], r["fold"]): r for r in AP.fit_airports(rows, FEATURES).collect()}
+    whole = {r["fold"]: r for r in AP.fit_airports(rows, FEATURES, own=False).collect()}
+    assert iterated == {0: {"BIG", "MID", "FEW", "ONE", "SOLE", AP.WHOLE} - {"ONE"}, 100: {"BIG", "MID", AP.WHOLE}, 10**9: set()}[together]
+    assert set(got) == set(want) and set(whole) == {-1, 0, 1, 2, 3, 4}
+    for at, r in want.items():
+        assert np.allclose(got[at]["coefficients"], r["coefficients"], rtol=1e-7, atol=1e-9) and abs(got[at]["intercept"] - r["intercept"]) < 1e-7
+        assert (got[at]["n"], got[at]["n_pos"]) == (r["n"], r["n_pos"])
+
+
 def test_out_of_fold_scores_and_metrics(spark, rows):
     scored = AP.airport_oof(rows.withColumn("extra", F.lit("x")), FEATURES)
     got = scored.collect()
