@@ -173,3 +173,20 @@ def test_share_of_tiles_visited_falls_with_the_table(spark):
         shares.append(visits / n / bounds.count())
         assert tiled.groupBy("tile").count().agg(F.max("count")).first()[0] <= 64
     assert shares[1] < shares[0] / 4 and shares[0] < 0.3
+
+
+def test_distances_of_a_tile_are_not_sorted(monkeypatch):
+    """The k least of a row are taken one by one, ties to the lower id; an id is never its own neighbour, however often it comes."""
+    import numpy as np
+    from stormlift.operators import neighbours as N
+
+    rng = np.random.default_rng(3)
+    ids, vecs = np.append(rng.permutation(300), [7, 7]), rng.integers(0, 4, (302, 3)).astype(float)
+    sort = np.argsort
+    monkeypatch.setattr(N.np, "argsort", lambda a, *args, **kw: sort(a, *args, **kw) if np.ndim(a) == 1 else pytest.fail("sorts all distances"))
+    got = N._best(ids, vecs, ids, vecs, 4)
+    want = []
+    for i, v in zip(ids, vecs):
+        far = sorted((float(((v - w) ** 2).sum()), j) for j, w in zip(ids, vecs) if j != i)[:4]
+        want += [(i, j, d**0.5) for d, j in far]
+    assert list(got.itertuples(index=False, name=None)) == want
