@@ -7,6 +7,7 @@ the batch result on the strikes that came in time.
 
 from __future__ import annotations
 
+import bisect
 import json
 import math
 from collections.abc import Callable, Iterator
@@ -23,6 +24,10 @@ from stormlift.operators.windows import ALL_MINUTES, CG_MINUTES, HALO, IC_MINUTE
 
 DELAY = "10 minutes"
 GAP_US = 30 * MINUTE
+#: Alerts of a site share this many keys of state: a call costs a millisecond or two whatever it brings, and alerts are many and short.
+SITE_PARTS = 4
+#: The hours of a site whose strikes share a key of the context's state; longer than HALO.
+CONTEXT_SLOT = 6 * HOUR
 
 
 def late_bound(strikes: DataFrame, delay: str = DELAY) -> DataFrame:
@@ -83,8 +88,11 @@ def _take_ready(state: GroupState, waiting: list, batches: Iterator[pd.DataFrame
             plain = [[v.item() if isinstance(v, np.generic) else v for v in pdf[c].tolist()] for c in columns]
             waiting.extend(list(r) for r in zip(*plain, strict=True))
     passed = state.getCurrentWatermarkMs() * 1000
-    waiting.sort(key=lambda r: (r[0], r[1]))
-    cut = sum(1 for r in waiting if r[0] <= passed)
+    for r in waiting:
+        if isinstance(r[1], float):  # a column of ids with a null comes as floats
+            r[1] = None if math.isnan(r[1]) else int(r[1])
+    waiting.sort(key=lambda r: (r[0], r[1] is None, r[1] or 0))
+    cut = bisect.bisect_right(waiting, passed, key=lambda r: r[0])
     return waiting[:cut], waiting[cut:], passed
 
 
@@ -99,7 +107,7 @@ INTEGERS = {"rank_cg", *[f"n_cg_{m}min" for m in CG_MINUTES]}
 FEATURE_SCHEMA = "lightning_id bigint, us bigint, airport string, airport_alert_id bigint, " + ", ".join(
     f"{c} {'bigint' if c in INTEGERS else 'double'}" for c in LIVE_FEATURES
 )
-EMPTY_ALERT = {"wait": [], "rank": 0, "start": None, "last_cg": None, "last": 0, "dt": [], "dist": [], "amp": [],
+EMPTY_ALERT = {"rank": 0, "start": None, "last_cg": None, "last": 0, "dt": [], "dist": [], "amp": [],
                "ema": [], "times": [], "lifted": False}
 
 
@@ -156,25 +164,30 @@ def new_alert() -> dict:
 
 
 def _per_alert(emit: Callable[[dict, list, dict], dict | None], columns: list[str]) -> Callable:
-    """A state function that hands ``emit`` each CG strike of an alert with its features, in order."""
+    """A state function that hands ``emit`` each CG strike of a key's alerts with its features, in order.
+
+    The state holds the strikes that wait and the open alerts by id.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        alert = _open_state(state, new_alert())
-        ready, alert["wait"], passed = _take_ready(
-            state, alert["wait"], batches, ["us", "lightning_id", "icloud", "dist", "amplitude"]
+        airport, kept = key[0], _open_state(state, {"wait": [], "open": {}})
+        ready, kept["wait"], passed = _take_ready(
+            state, kept["wait"], batches, ["us", "lightning_id", "icloud", "dist", "amplitude", "airport_alert_id"]
         )
+        opened = kept["open"]
         rows = []
-        for us, lid, icloud, dist, amplitude in ready:
+        for us, lid, icloud, dist, amplitude, no in ready:
+            alert = opened.get(str(no)) or opened.setdefault(str(no), new_alert())
             alert["last"] = us
             if not icloud and not alert["lifted"]:  # a lifted alert only waits for its end
-                made = emit(alert, [lid, us, *key], advance(alert, us, dist, amplitude))
+                made = emit(alert, [lid, us, airport, no], advance(alert, us, dist, amplitude))
                 if made is not None:
                     rows.append(made)
-        if alert["wait"]:
-            wake = alert["wait"][0][0]
-        else:  # an alert is over 30 minutes after its last strike of any kind
-            wake = None if passed > alert["last"] + GAP_US else alert["last"] + GAP_US
-        _close_state(state, alert, wake)
+        # an alert is over 30 minutes after its last strike of any kind
+        waited_for = {str(r[5]) for r in kept["wait"]}
+        kept["open"] = {no: a for no, a in opened.items() if no in waited_for or passed <= a["last"] + GAP_US}
+        ends = [a["last"] + GAP_US for no, a in kept["open"].items() if no not in waited_for]
+        _close_state(state, kept, min([*(r[0] for r in kept["wait"][:1]), *ends], default=None))
         if rows:
             yield pd.DataFrame(rows, columns=columns)
 
@@ -182,11 +195,12 @@ def _per_alert(emit: Callable[[dict, list, dict], dict | None], columns: list[st
 
 
 def _by_alert(strikes: DataFrame, step: Callable, schema: str, delay: str) -> DataFrame:
-    """All strikes of alerts, IC included: they keep an alert open."""
+    """All strikes of alerts, IC included: they keep an alert open. State is per site and part of its alerts."""
     slim = late_bound(strikes.filter(in_alert()), delay).select(
         "lightning_id", "date", micros("date").alias("us"), *ALERT, "icloud", "dist", "amplitude"
     )
-    return slim.groupBy(*ALERT).applyInPandasWithState(
+    slim = slim.withColumn("part", F.pmod(F.xxhash64("airport_alert_id"), F.lit(SITE_PARTS)))
+    return slim.groupBy("airport", "part").applyInPandasWithState(
         step, schema, "kept string", "append", GroupStateTimeout.EventTimeTimeout
     )
 
@@ -227,10 +241,10 @@ def live_decisions(
 def live_context(strikes: DataFrame, delay: str = DELAY) -> DataFrame:
     """Airport-wide counts of each CG strike in an alert.
 
-    State is kept per airport and hour, each strike of the second half hour also going to the
-    next hour: catching up runs hours side by side, and state ends with its hour.
+    State is kept per airport and CONTEXT_SLOT, each strike of its last half hour also going to the
+    next slot: catching up runs slots side by side, and state ends with its slot.
     """
-    late = F.pmod(F.col("us"), F.lit(HOUR)) >= HOUR - HALO
+    late = F.pmod(F.col("us"), F.lit(CONTEXT_SLOT)) >= CONTEXT_SLOT - HALO
     spread = (
         late_bound(strikes, delay)
         .withColumn("us", micros("date"))
@@ -243,13 +257,13 @@ def live_context(strikes: DataFrame, delay: str = DELAY) -> DataFrame:
             "icloud",
             F.explode(F.when(late, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
         )
-        .withColumn("hour", F.floor(F.col("us") / HOUR) + F.col("copy"))
+        .withColumn("slot", F.floor(F.col("us") / CONTEXT_SLOT) + F.col("copy"))
     )
     names = ["lightning_id", "us", "airport", *CONTEXT]
     windows = [(1, m) for m in IC_MINUTES] + [(0, m) for m in ALL_MINUTES]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        airport, hour = key[0], int(key[1])
+        airport, slot = key[0], int(key[1])
         kept = _open_state(state, {"wait": [], "seen": []})
         ready, kept["wait"], passed = _take_ready(
             state, kept["wait"], batches, ["us", "lightning_id", "icloud", "alert", "copy"]
@@ -257,17 +271,15 @@ def live_context(strikes: DataFrame, delay: str = DELAY) -> DataFrame:
         kept["seen"] += [[us, icloud] for us, _, icloud, _, _ in ready]
         times = np.array([us for us, _ in kept["seen"]], dtype="int64")
         ic_times = np.array([us for us, icloud in kept["seen"] if icloud], dtype="int64")
-        rows = []
-        for us, lid, icloud, alert, copy in ready:
-            if icloud or alert < 0 or copy:
-                continue
-            counts = []
-            for ic_only, m in windows:
-                line = ic_times if ic_only else times
-                counts.append(int(np.searchsorted(line, us, "right") - np.searchsorted(line, us - m * MINUTE, "left")))
-            rows.append([lid, us, airport, *counts])
+        asked = [(us, lid) for us, lid, icloud, alert, copy in ready if not (icloud or alert < 0 or copy)]
+        at = np.array([us for us, _ in asked], dtype="int64")
+        counts = []  # of all asked strikes at once, from both ends of every window
+        for ic_only, m in windows:
+            line = ic_times if ic_only else times
+            counts.append(np.searchsorted(line, at, "right") - np.searchsorted(line, at - m * MINUTE, "left"))
+        rows = [[lid, us, airport, *c] for (us, lid), c in zip(asked, np.stack(counts, axis=1).tolist(), strict=True)]
         kept["seen"] = [r for r in kept["seen"] if r[0] >= passed - HALO]
-        end = (hour + 1) * HOUR
+        end = (slot + 1) * CONTEXT_SLOT
         if kept["wait"]:
             wake = kept["wait"][0][0]
         else:
@@ -277,6 +289,6 @@ def live_context(strikes: DataFrame, delay: str = DELAY) -> DataFrame:
             yield pd.DataFrame(rows, columns=names)
 
     schema = "lightning_id bigint, us bigint, airport string, " + ", ".join(f"{c} bigint" for c in CONTEXT)
-    return spread.groupBy("airport", "hour").applyInPandasWithState(
+    return spread.groupBy("airport", "slot").applyInPandasWithState(
         step, schema, "kept string", "append", GroupStateTimeout.EventTimeTimeout
     )

@@ -73,21 +73,30 @@ class SiteRows(StatefulProcessor):
         waiting = sorted([*map(tuple, self.wait.get()), *fresh], key=lambda r: (r[0], r[1] is None, r[1] or 0))
         cut = sum(r[0] <= passed for r in waiting)
         ready, waiting = waiting[:cut], waiting[cut:]
+        stored = {alert: v for (alert,), v in self.open.iterator()}  # one answer, not one for each alert
+        held: dict[int, dict] = {}
+        ring = [(r[0], r[1]) for r in self.ring.get()]
         if ready:
-            yield from self._rows(airport, ready, passed)
+            ring += [(r[0], r[3]) for r in ready]
+            yield from self._rows(airport, ready, ring, stored, held)
+            ring = [r for r in ring if r[0] >= min(passed, ring[-1][0]) - HALO]
+            self.ring.put(ring)
         if fresh or ready:
             if waiting:
                 self.wait.put(waiting)
             else:
                 self.wait.clear()
-        ends = []
-        for (alert,), v in list(self.open.iterator()):
-            over = v[_OPEN_NAMES.index("last")] + GAP_US
-            if passed > over and not any(r[2] == alert for r in waiting):  # an alert is over half an hour after its last strike of any kind
-                self.open.removeKey((alert,))
-            else:
-                ends.append(over)
-        newest = max((r[0] for r in self.ring.get()), default=None)
+        ends, waited_for = [], {r[2] for r in waiting}
+        for alert in [*stored, *(a for a in held if a not in stored)]:
+            last = held[alert]["last"] if alert in held else stored[alert][_OPEN_NAMES.index("last")]
+            if passed > last + GAP_US and alert not in waited_for:  # an alert is over half an hour after its last strike of any kind
+                if alert in stored:
+                    self.open.removeKey((alert,))
+                continue
+            ends.append(last + GAP_US)
+            if alert in held:  # only alerts that stay open are written
+                self.open.updateValue((alert,), tuple(held[alert][k] for k in _OPEN_NAMES))
+        newest = max((r[0] for r in ring), default=None)
         if newest is not None and passed > newest + HALO:
             self.ring.clear()
             newest = None
@@ -97,8 +106,8 @@ class SiteRows(StatefulProcessor):
         if wake is not None:
             self.handle.registerTimer(max(wake // 1000 + 1, passed_ms + 1))
 
-    def _rows(self, airport: str, ready: list[tuple], passed: int) -> Iterator[pd.DataFrame]:
-        ring = [(r[0], r[1]) for r in self.ring.get()] + [(r[0], r[3]) for r in ready]
+    def _rows(self, airport: str, ready: list[tuple], ring: list[tuple], stored: dict[int, tuple], held: dict[int, dict]) -> Iterator[pd.DataFrame]:
+        """Rows of the ready strikes; alerts they touch are moved from ``stored`` values into ``held``."""
         times = np.array([us for us, _ in ring], dtype="int64")
         ic_times = np.array([us for us, icloud in ring if icloud], dtype="int64")
         at = np.array([r[0] for r in ready], dtype="int64")
@@ -107,22 +116,18 @@ class SiteRows(StatefulProcessor):
             line = ic_times if ic_only else times
             counts.append(np.searchsorted(line, at, "right") - np.searchsorted(line, at - m * MINUTE, "left"))
         counts = np.stack(counts, axis=1)
-        held: dict[int, dict] = {}
         out = []
         for n, (us, lid, alert, icloud, last, *raw) in enumerate(ready):
             if alert is None:
                 continue
             if alert not in held:
-                kept = self.open.getValue((alert,)) if self.open.containsKey((alert,)) else None
+                kept = stored.get(alert)
                 held[alert] = new_alert() if kept is None else {k: list(v) if isinstance(v, (list, tuple, np.ndarray)) else v for k, v in zip(_OPEN_NAMES, kept, strict=True)}
             state = held[alert]
             state["last"] = us
             if not icloud:
                 made = advance(state, us, raw[RAW.index("dist")], raw[RAW.index("amplitude")])
                 out.append([lid, us, airport, alert, last, *raw, *made.values(), *counts[n].tolist()])
-        for alert, state in held.items():
-            self.open.updateValue((alert,), tuple(state[k] for k in _OPEN_NAMES))
-        self.ring.put([r for r in ring if r[0] >= min(passed, ring[-1][0]) - HALO])
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _ROW.split(", ")])
 

@@ -151,3 +151,15 @@ def test_late_strikes_are_kept_aside(spark, strikes):
         sink(rows, n)
     late = ledger.read("late", "lightning_id bigint").collect()
     assert sorted(r["lightning_id"] for r in late) == [3, 4, 7, 8]
+
+
+def test_live_state_has_few_keys(storm, monkeypatch):
+    """Sites, not alerts and hours, make the keys of state; results do not hang on how many share one."""
+    def played(flow):
+        return sorted(map(str, replay(storm, flow, slices=3).collect()))
+
+    few = played(S.live_features), played(S.live_context)
+    for parts, slot in ((1, 24 * HOUR), (16, HOUR)):
+        monkeypatch.setattr(S, "SITE_PARTS", parts)
+        monkeypatch.setattr(S, "CONTEXT_SLOT", slot)
+        assert (played(S.live_features), played(S.live_context)) == few
