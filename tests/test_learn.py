@@ -190,3 +190,46 @@ def test_distances_of_a_tile_are_not_sorted(monkeypatch):
         far = sorted((float(((v - w) ** 2).sum()), j) for j, w in zip(ids, vecs) if j != i)[:4]
         want += [(i, j, d**0.5) for d, j in far]
     assert list(got.itertuples(index=False, name=None)) == want
+
+
+def test_a_written_vector_is_read_and_changes_nothing(rows, monkeypatch):
+    ready = L.materialise(L.assembled(rows, X), "ready", 100)
+    assert L.is_assembled(ready, X) and L.is_assembled(ready.filter("fold != 1").withColumn("w", F.lit(1.0)), X)
+    assert not L.is_assembled(ready, X[::-1]) and not L.is_assembled(ready, X[:2]) and not L.is_assembled(rows, X)
+    plain = L.fit(ready.drop("features"), X, "logistic_balanced", 20)
+    want = {r.lightning_id: r.score for r in L.score(rows, plain).collect()}
+    monkeypatch.setattr(L.VectorAssembler, "transform", lambda *a: pytest.fail("puts the vector together again"))
+    model = L.fit(ready, X, "logistic_balanced", 20)
+    assert [m.getNumTrees for m in [L.fit(ready, X, "gbt_v4", 2, 2, stop_fold=1).stages[-1]]] and model.stages[0].getInputCols() == X
+    got = {r.lightning_id: r.score for r in L.score(ready, model).collect()}
+    assert got == pytest.approx(want, abs=1e-9) and "features" not in L.score(ready, model).columns
+    monkeypatch.undo()
+    # a vector of other columns, or one left over from columns that a pack replaces, is not taken
+    other = L.assembled(rows, X[::-1])
+    assert {r.lightning_id: r.score for r in L.score(other, plain).collect()} == pytest.approx(want)
+    stale = ready.withColumn("x0", F.lit(0.0))
+    pack = {"model": plain, "features": X, "threshold": 0.5, "airports": None}
+    a = {r.lightning_id: r.confidence for r in L.score_pack(stale, pack).collect()}
+    assert a == pytest.approx({r.lightning_id: r.score for r in L.score(rows.withColumn("x0", F.lit(0.0)), plain).collect()})
+
+
+def test_early_stop_scans_the_rows_once(rows, monkeypatch):
+    seen = []
+    fit = L.GBTClassifier.fit
+
+    def watched(self, df, *a):
+        seen.append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return fit(self, df, *a)
+
+    monkeypatch.setattr(L.GBTClassifier, "fit", watched)
+    L.fit(L.materialise(L.assembled(rows, X), "once"), X, "gbt_v4", 2, 2, stop_fold=1)
+    assert seen == [1]
+
+
+def test_fits_side_by_side_hold_a_bounded_number_of_rows(spark):
+    assert [L.at_once(spark.range(n), 4) for n in (0, 1000, 8_000_000, 40_000_000)] == [4, 4, 2, 1]
+
+
+def test_a_training_table_is_written_in_even_files(rows):
+    df = L.materialise(rows, "even", 100)
+    assert df.count() == rows.count() and max(r["n"] for r in df.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()) <= 100
