@@ -233,3 +233,49 @@ def test_fits_side_by_side_hold_a_bounded_number_of_rows(spark):
 def test_a_training_table_is_written_in_even_files(rows):
     df = L.materialise(rows, "even", 100)
     assert df.count() == rows.count() and max(r["n"] for r in df.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()) <= 100
+
+
+def test_neighbours_leave_points_where_they_lie(spark, monkeypatch):
+    """Points are not put in order for their tiles, few copies do not make all points written again, results stay exact."""
+    from stormlift.operators import neighbours as N
+
+    rng = np.random.default_rng(9)
+    v = np.vstack([rng.normal(size=(500, 3)), np.ones((5, 3))]).round(4)
+    df = L.materialise(spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "id long, v array<double>"), "cloud")
+    written, write = [], N.materialise
+    monkeypatch.setattr(N, "dense_index", lambda *a: pytest.fail("orders all points"))
+    monkeypatch.setattr(N, "materialise", lambda out, name, *a: written.append((name, (made := write(out, name, *a)).count())) or made)
+    got = {(r.id, r.place): r.nid for r in nearest(df, 2, 32).collect()}
+    d = np.sqrt(((v[:, None, :] - v[None, :, :]) ** 2).sum(-1))
+    for i in range(len(v)):
+        order = sorted((d[i, j], j) for j in range(len(v)) if j != i)[:2]
+        assert [got[i, 1], got[i, 2]] == [j for _, j in order]
+    assert sorted(n for n, rows in written if rows > 250) == ["near", "tiles"]
+
+
+def test_tiles_too_full_for_a_sketch_are_cut_in_order(spark):
+    """All points at one place on the first two axes: the order by id still bounds a tile."""
+    rows = [(i, [1.0, float(i % 2)]) for i in range(400)]
+    tiled, bounds, _ = tiles_of(spark.createDataFrame(rows, "id long, v array<double>"), 16)
+    assert tiled.groupBy("tile").count().agg(F.max("count")).first()[0] <= 16 and "_n" not in bounds.columns
+
+
+def test_a_tile_is_sent_once_for_few_visitors_and_again_for_many(spark, monkeypatch):
+    from stormlift.operators import neighbours as N
+
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(600, 2))
+    df = L.materialise(spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(v)], "id long, v array<double>"), "plane")
+    results, sent, write = [], [], N.materialise
+
+    def kept(out, name, *a):
+        made = write(out, name, *a)
+        if name == "parties":
+            sent.append((made.select("tile").distinct().count(), made.select("tile", "party").distinct().count()))
+        return made
+
+    monkeypatch.setattr(N, "materialise", kept)
+    for party in (1 << 17, 4):
+        monkeypatch.setattr(N, "PARTY", party)
+        results.append(sorted((r.id, r.place, r.nid) for r in nearest(df, 3, 16).collect()))
+    assert results[0] == results[1] and sent[0][0] == sent[0][1] and sent[1][0] < sent[1][1]
